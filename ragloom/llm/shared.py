@@ -41,16 +41,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in ``spark.checkpoint.dir``.
-
-    All executors share that folder, so a lost executor loses nothing. Where the
-    setting is missing (tests, a laptop) a temporary folder stands in.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset (tests, a laptop)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ragloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

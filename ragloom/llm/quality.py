@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.bpe import Recent
-from ragloom.llm.shared import load, small_batches
+from ragloom.llm.shared import append_columns, load, small_batches
 
 #: Weights of hashed word n-grams, a power of two; after them come those of shape n-grams.
 BUCKETS = 1 << 18
@@ -144,31 +144,34 @@ def learn_weights(sample: DataFrame) -> np.ndarray:
         weights = train([r[1] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
-    return np.frombuffer(bytes(sample.repartition(1).mapInArrow(run, kind).first()["weights"]), np.float32)
+    row = sample.repartition(1).mapInArrow(run, kind).first()
+    return np.frombuffer(bytes(row["weights"]), np.float32) if row else train([], [])
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", held: int = 0, folds: int = FOLDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with the score as column ``out``; see ``score_quality``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    weights = spark.sparkContext.broadcast(learn_weights(training_rows(docs, labels, label, held, folds, train_rows, id_col, text_col)))  # of fixed size
+
+    def make():
+        features, w = Features(), weights.value
+        return lambda texts: [pa.array([score(features, w, v.as_py()) for v in texts], pa.float64())]
+
+    return append_columns(docs, text_col, make, f"`{out}` double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", held: int = 0, folds: int = FOLDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``id, text, held_out, score, predicted`` of every whole document.
+    """``id, held_out, score, predicted`` of every whole document.
 
     Learns from at most ``train_rows`` labelled documents of the other folds. A null or
     empty text gets the bias's score; a null id is scored, in fold 0; repeated rows each
     give a row; with no labelled row all scores are 0.5. Extra columns are left out.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    weights = spark.sparkContext.broadcast(learn_weights(training_rows(docs, labels, label, held, folds, train_rows, id_col, text_col)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w = Features(), weights.value
-        for batch in batches:
-            scores = [score(features, w, v.as_py()) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text string, score double")
-    return scored.select(id_col, "text", (fold(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = with_quality(docs.select(id_col, text_col), labels, "score", id_col, text_col, label, held, folds, train_rows)
+    return scored.select(id_col, (fold(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
-    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text")
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

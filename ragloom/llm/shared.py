@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 512
@@ -55,6 +58,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def append_columns(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str) -> DataFrame:
+    """``docs`` with further columns made from its texts; rows never leave their task.
+
+    ``make`` runs once a task and gives the function for its batches. All columns pass
+    through by position, so their names may be any, even twice the same.
+    """
+    small_batches(docs.sparkSession)
+    own, more = docs.schema.fields, StructType.fromDDL(fields).fields
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(own))])
+    plain = plain.withColumn(f"_c{at}", F.col(f"_c{at}").cast("string"))
+    kinds = StructType([*plain.schema.fields, *[f.__class__(f"_c{len(own) + i}", f.dataType) for i, f in enumerate(more)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(at))], names=kinds.names)
+
+    return plain.mapInArrow(run, kinds).toDF(*[f.name for f in own], *[f.name for f in more])
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
     """Left join whose keys may be hot on the left; ``right`` has one row a key.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.bpe import Recent
 from ragloom.llm.quality import fold, training_rows
-from ragloom.llm.shared import checkpoint, load, small_batches
+from ragloom.llm.shared import append_columns, checkpoint, load, small_batches
 
 #: A document is rejected from this score on.
 THRESHOLD = 0.3
@@ -167,15 +167,19 @@ class Grammar:
                 own = []
         return [*found, own] if own else found
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Matched outputs, damped by clause: a clause's repeats of one output count less and less."""
+    def features(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Matched outputs, and the number of matched clauses.
+
+        A clause's repeats of one output count less and less, and none counts above 8.
+        """
         out = np.zeros(len(self.outputs) + 1)
         out[-1] = 1
-        for own in self.clauses(text):
+        clauses = self.clauses(text)
+        for own in clauses:
             for k, n in Counter(own).items():
                 out[k] += math.log2(1 + n)
         out[:-1] = np.minimum(out[:-1], 8)
-        return out
+        return out, len(clauses)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float = 2.0, steps: int = 30) -> np.ndarray:
@@ -224,14 +228,8 @@ def learn_stems(sample: DataFrame, most: int = LEXICON) -> dict[str, int]:
     return {r["stem"]: INSULT if r["odds"] >= INSULT_ODDS else SLUR for r in kept.orderBy(F.desc("g2"), "stem").limit(most).collect()}  # ``most`` of them at most
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", held: int = HELD, folds: int = FOLDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``id, text, held_out, score, predicted, n_clauses`` of every whole document.
-
-    Learns from at most ``train_rows`` labelled documents of the other folds. A null or
-    empty text has no clause and gets the bias's score; a null id is scored, in fold 0;
-    repeated rows each give a row; with no labelled row the fixed lexicon and prior
-    weights hold. Extra columns are left out.
-    """
+def with_toxicity(docs: DataFrame, labels: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", held: int = HELD, folds: int = FOLDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with the score as column ``out`` and the matched clauses as ``out_clauses``; see ``score_toxicity``."""
     spark = docs.sparkSession
     small_batches(spark)
     sample = checkpoint(training_rows(docs, labels, label, held, folds, train_rows, id_col, text_col).select("text", "label"))
@@ -240,7 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems.value)
         for batch in batches:
-            rows = [grammar.features(v.as_py()).tolist() for v in batch.column(0)]
+            rows = [grammar.features(v.as_py())[0].tolist() for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     rows = sample.mapInArrow(describe, "x array<double>, label int").groupBy("x", "label").count().orderBy("x", "label").collect()  # ``train_rows`` of them at most
@@ -250,21 +248,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         x, y = np.array([r["x"] for r in rows]).repeat([r["count"] for r in rows], axis=0), np.array([float(r["label"] > 0) for r in rows]).repeat([r["count"] for r in rows])
         weights = fit_weights(x, y, weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         grammar = Grammar(stems.value)
-        for batch in batches:
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
             scores, n = [], []
-            for v in batch.column(1):
-                x = grammar.features(v.as_py())
+            for v in texts:
+                x, clauses = grammar.features(v.as_py())
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ weights))))))
-                n.append(len(grammar.clauses(v.as_py())) if x[:-1].any() else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(n, pa.int32())], names=[*batch.schema.names, "score", "n_clauses"])
+                n.append(clauses)
+            return [pa.array(scores, pa.float64()), pa.array(n, pa.int32())]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text string, score double, n_clauses int")
-    return scored.select(id_col, "text", (fold(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clauses")
+        return compute
+
+    return append_columns(docs, text_col, make, f"`{out}` double, `{out}_clauses` int")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", held: int = HELD, folds: int = FOLDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``id, held_out, score, predicted, n_clauses`` of every whole document.
+
+    Learns from at most ``train_rows`` labelled documents of the other folds. A null or
+    empty text has no clause and gets the bias's score; a null id is scored, in fold 0;
+    repeated rows each give a row; with no labelled row the fixed lexicon and prior
+    weights hold. Extra columns are left out.
+    """
+    scored = with_toxicity(docs.select(id_col, text_col), labels, "score", id_col, text_col, label, held, folds, train_rows)
+    return scored.select(id_col, (fold(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.col("score_clauses").alias("n_clauses"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
-    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text")
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

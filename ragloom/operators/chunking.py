@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
+from ragloom.sources.workers import ship_code
 
 #: Fixed value: the line that opens a document.
 MARKER = r"(?i)^S\s*(\d+)\s*,\s*Ep\s*(\d+)\b"
@@ -63,6 +64,7 @@ def chunk_texts(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, o
     Sentences are cut in the JVM; only their lengths go to Python, where the fold over
     them runs. A sentence longer than ``size`` is a chunk; blank texts give none.
     """
+    ship_code(docs.sparkSession)
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

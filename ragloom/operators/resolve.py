@@ -16,14 +16,15 @@ def mentions(rows: DataFrame, ontology: O.Ontology | None = O.DEFAULT) -> DataFr
     the first seen of equals; types outside the ontology have no vote."""
     votes = rows.groupBy("surface", "type").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     ok = F.col("type").isin(list(ontology.node_types)) if ontology else F.lit(True)
-    kind = F.max_by(F.when(ok, F.col("type")), F.when(ok, F.struct("n", -F.col("first"))))
+    kind = F.min_by(F.when(ok, F.col("type")), F.when(ok, F.struct((-F.col("n")).alias("n"), "first")))
     default = ontology.node_types[0] if ontology else None
     return votes.groupBy("surface").agg(F.sum("n").alias("count"), F.min("first").alias("first"), F.coalesce(kind, F.lit(default)).alias("type"))
 
 
 def both_ends(triples: DataFrame) -> DataFrame:
     """Mentions of triples as ``ord, surface, type``, subject before object."""
-    ends = F.array(F.struct((F.col("ord") * 2).alias("ord"), F.col("subject").alias("surface"), F.col("subject_type").alias("type")), F.struct((F.col("ord") * 2 + 1).alias("ord"), F.col("object").alias("surface"), F.col("object_type").alias("type")))
+    end = lambda name, place: F.struct(F.struct("ord", F.lit(place).alias("place")).alias("ord"), F.col(name).alias("surface"), F.col(f"{name}_type").alias("type"))
+    ends = F.array(end("subject", 0), end("object", 1))
     return triples.select(F.explode(ends).alias("x")).select("x.*")
 
 

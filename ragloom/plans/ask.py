@@ -43,7 +43,7 @@ def build_chunks(lines: DataFrame, size: int = 1000, overlap: int = 150) -> Data
 
 def build_vectors(chunks: DataFrame, providers: P.Providers = P.DEFAULT) -> DataFrame:
     """Non-blank chunks with ``ord``, hash and embedding."""
-    rows = chunks.where(T.compact(F.col("text")) != "").withColumns({"text_hash": T.text_hash(F.col("text")), "_input": T.embedding_input(F.col("title"), F.col("text")), "ord": F.xxhash64("document_id", "chunk_id", "text")})
+    rows = chunks.where(T.compact(F.col("text")) != "").withColumns({"text_hash": T.text_hash(F.col("text")), "_input": T.embedding_input(F.col("title"), F.col("text")), "ord": F.struct("document_id", "chunk_id")})
     return P.embed(rows, "_input", providers).drop("_input")
 
 
@@ -51,8 +51,7 @@ def extract_triples(chunks: DataFrame, providers: P.Providers = P.DEFAULT, ontol
     """Valid triples of all chunks with their provenance and order."""
     found = P.extract(chunks, providers).select("document_id", "chunk_id", F.posexplode(triples.parse_reply(F.col("reply"), "triples", triples.TRIPLE)).alias("place", "t"))
     rows = found.select("t.*", "document_id", "chunk_id", "place")
-    order = F.struct("document_id", "chunk_id", "place")
-    return triples.validate(rows, ontology).withColumn("ord", F.xxhash64(order)).drop("place")
+    return triples.validate(rows, ontology).withColumn("ord", F.struct("document_id", "chunk_id", "place")).drop("place")
 
 
 def resolve_entities(found: DataFrame, providers: P.Providers = P.DEFAULT, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ragloom.functions.lexicon import python_terms
+from ragloom.sources.workers import ship_code
 
 #: Texts and names of one call.
 EMBED_BATCH, RESOLVE_BATCH = 64, 60
@@ -74,6 +75,7 @@ def embed(rows: DataFrame, text_col: str, providers: Providers = DEFAULT, out: s
             vectors = [v for i in range(0, len(texts), EMBED_BATCH) for v in providers.embed(texts[i : i + EMBED_BATCH])]
             yield part.assign(**{out: vectors})
 
+    ship_code(rows.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{fields}, `{out}` array<float>")
 
@@ -91,6 +93,7 @@ def extract(chunks: DataFrame, providers: Providers = DEFAULT) -> DataFrame:
         for part in parts:
             yield part.assign(reply=part["text"].fillna("").map(one))
 
+    ship_code(chunks.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
     return chunks.mapInPandas(run, f"{fields}, reply string")
 
@@ -108,4 +111,5 @@ def decide(surfaces: DataFrame, providers: Providers = DEFAULT) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["surface", "canonical", "type", "keep"])
 
+    ship_code(surfaces.sparkSession)
     return surfaces.select("surface").mapInPandas(run, "surface string, canonical string, type string, keep boolean")

@@ -33,10 +33,14 @@ def top_k(vectors: DataFrame, query: list[float], k: int, order: str, vector_col
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, id, score`` for a stated set of queries (``query_id, query``).
 
-    The queries are the small, stated side and are sent to all rows in the plan's own
-    time; each row's cosine is a projection, and the rank keeps k rows a query and task.
+    The vectors are dealt to as many blocks as there are shuffle partitions, and every
+    block gets the queries: an equi-join meets each pair once. A task keeps k rows a
+    query before the rest is shuffled.
     """
-    scored = queries.join(vectors.select(F.col(id_col), F.col(vector_col)), F.col("query_id") != F.col(id_col)).select("query_id", id_col, cosine(F.col("query"), F.col(vector_col)).alias("score"))
+    blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.select(F.col(id_col), F.col(vector_col), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_block"))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scored = asked.join(dealt, "_block").where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, cosine(F.col("query"), F.col(vector_col)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

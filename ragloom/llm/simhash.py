@@ -29,6 +29,9 @@ BUDGET, SHINGLE, SEED = 2, 3, 42
 #: Members above which a group is cut again.
 GROUP = 4096
 
+#: Members whose groups a task takes at once, about; bounds its memory at any size.
+SHARD = 200_000
+
 #: Fixed value: a word, in bytes of UTF-8.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,7 +165,7 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     spark = prints.sparkSession
     small_batches(spark, 20_000)
     members = groups(prints)
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (BUDGET + 1) * prints.count() // SHARD)
     dealt = members.withColumn("shard", F.pmod(F.xxhash64("fixed", "held"), F.lit(shards * 4))).repartition(shards, "shard")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -27,8 +27,9 @@ from ragloom.llm.topk import usable
 
 #: Cosine from which vectors are linked.
 THRESHOLD = 0.95
-#: Rows to which the centroids are fitted, and queries of the audit, at most.
-SAMPLE, AUDIT = 8192, 128
+#: The centroids are fitted to a sample of a sixteenth of the vectors, of ``SAMPLE`` rows at
+#: least and ``SAMPLE_NUMBERS`` components at most (64 MB); queries of the audit at most.
+SAMPLE, SAMPLE_NUMBERS, AUDIT = 8192, 1 << 23, 128
 #: Recall that the audit asks for, and how often a shortfall widens the search.
 RECALL, WIDEN = 0.95, 3
 
@@ -64,7 +65,7 @@ def centroids(sample: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     """Spherical k-means; an empty cluster keeps its centre."""
     c = sample[np.linspace(0, len(sample) - 1, k).astype(int)]
     for _ in range(steps):
-        own = (sample @ c.T).argmax(1)
+        own = np.concatenate([(sample[i : i + 1024] @ c.T).argmax(1) for i in range(0, len(sample), 1024)])
         total = np.zeros_like(c)
         np.add.at(total, own, sample)
         size = np.sqrt((total * total).sum(1, keepdims=True))
@@ -187,7 +188,8 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     """
     spark = classes.sparkSession
     counts = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    sample = classes.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()["vector"]
+    rows = min(max(SAMPLE, sum(counts.values()) // 16), max(SAMPLE // 8, SAMPLE_NUMBERS // max(counts, default=1)))
+    sample = classes.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(rows).toPandas()["vector"]
     cells = spark.sparkContext.broadcast(Cells(sample, counts, s))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,9 +44,10 @@ OTHER, INSULT, THREAT, SLUR, TARGET, NEGATOR, SPEECH, QUOTE, END = range(9)
 #: Symbols that get marks and weights.
 SCORED = (INSULT, THREAT, SLUR)
 
-#: Words from which every lexicon starts.
+#: Words from which every lexicon starts. Insults of a corpus are learned
+#: from its training rows; none is listed here because labelled rows hold it.
 WORDS = {
-    INSULT: "idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting trash clown imbecile imbécile dummkopf abschaum estúpido idiota escoria ordure",
+    INSULT: "imbecile imbécile dummkopf abschaum estúpido idiota escoria ordure",
     THREAT: "kill murder destroy hurt strangle töten umbringen matar matarte tuer",
     TARGET: "you your yourself they them he she him her dich dir euch du sie ihn tú te usted vosotros toi vous tu",
     NEGATOR: "not no never isn aren wasn weren don without nicht kein keine nie ne pas jamais sin nunca jamás",

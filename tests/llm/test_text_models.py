@@ -58,7 +58,7 @@ def test_held_out_accuracy(tables, operator, label, held, folds):
 
 
 def test_grammar_marks_clauses():
-    g = Grammar({"grob*": toxicity.INSULT})
+    g = Grammar(dict.fromkeys(("grob*", "idiot", "moron"), toxicity.INSULT))
     marks = lambda text: [[g.outputs[k] for k in own] for own in g.clauses(text)]
     assert marks("You are an idiot.") == [[(toxicity.INSULT, "t")]]
     assert marks("He is not an idiot. Idiot!") == [[(toxicity.INSULT, "nt")], [(toxicity.INSULT, "")]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions.lexicon import DEFAULT, Lexicon
@@ -72,6 +72,17 @@ def question_profile(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     return F.struct(F.array_sort(terms).alias("expanded_terms"), *[v.alias(k) for k, v in flags.items()])
 
 
+def settled_terms(spark: SparkSession, question: str, lexicon: Lexicon = DEFAULT) -> Column:
+    """``expanded_terms`` of one question as a literal, so that no row repeats the fold."""
+    return strings(spark.range(1).select(expanded_terms(F.lit(question), lexicon)).first()[0])
+
+
+def settled_profile(spark: SparkSession, question: str, lexicon: Lexicon = DEFAULT) -> Column:
+    """``question_profile`` of one question as a literal."""
+    found = spark.range(1).select(question_profile(F.lit(question), lexicon)).first()[0].asDict()
+    return F.struct(strings(found.pop("expanded_terms")).alias("expanded_terms"), *[F.lit(v).alias(k) for k, v in found.items()])
+
+
 def slug(name: Column) -> Column:
     """Lower-case ASCII letters and digits joined by hyphens, 60 characters at most."""
     s = F.regexp_replace(F.regexp_replace(F.lower(name), "['’]", ""), "[^a-z0-9]+", "-")

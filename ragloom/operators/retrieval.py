@@ -80,7 +80,7 @@ def rerank(candidates: DataFrame, question: str, keep: int, lexicon: Lexicon = D
     Adds ``rerank_score`` and sorted ``matched_terms``; ties keep the candidates' order.
     """
     text = T.compact(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    rows = candidates.withColumn("_text", text).withColumn("_profile", T.question_profile(F.lit(question), lexicon))
+    rows = candidates.withColumn("_text", text).withColumn("_profile", T.settled_profile(candidates.sparkSession, question, lexicon))
     terms = F.col("_profile.expanded_terms")
     parts = (F.col("score"), lexical_score(F.col("_text"), terms, lexicon), cue_score(F.col("_text"), F.col("_profile"), lexicon))
     rows = rows.withColumn("rerank_score", sum((p * w for p, w in zip(parts, WEIGHTS, strict=True)), F.lit(0.0)))

@@ -79,7 +79,7 @@ def ask_vector(store: DataFrame, question: str, k: int = 10, candidates: int = 3
     spark = store.sparkSession
     asked = spark.range(1).select(T.expanded_text(F.lit(question), lexicon).alias("q")).first()["q"]
     found = retrieval.retrieve(store, question, providers.embed([asked])[0], k, candidates, lexicon)
-    terms = T.expanded_terms(F.lit(question), lexicon)
+    terms = T.settled_terms(spark, question, lexicon)
     rows = found.select("document_id", "chunk_id", "matched_terms", F.round("rerank_score", 6).alias("score"), retrieval.evidence_snippet(F.col("text"), terms, lexicon=lexicon).alias("snippet"), "ord").orderBy(F.desc("score"), "ord").collect()  # k rows
     shown = [r["snippet"] for r in rows]
     return Answer("vector", providers.answer(question, shown), shown, [r.asDict() for r in rows])

@@ -32,8 +32,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'")
 
 
-def _terms():
-    return T.expanded_terms(F.lit(QUESTION), LEXICON)
+def _terms(spark: SparkSession) -> F.Column:
+    return T.settled_terms(spark, QUESTION, LEXICON)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -135,19 +135,19 @@ def sentence_windows(spark, sf_dir):
 @query
 def evidence_snippet(spark, sf_dir):
     """R10, R11."""
-    return table(spark, sf_dir, "documents").select("doc_id", retrieval.evidence_snippet(F.col("text"), _terms(), lexicon=LEXICON).alias("snippet"))
+    return table(spark, sf_dir, "documents").select("doc_id", retrieval.evidence_snippet(F.col("text"), _terms(spark), lexicon=LEXICON).alias("snippet"))
 
 
 @query
 def lexical_score(spark, sf_dir):
     """R3."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieval.lexical_score(F.col("text"), _terms(), LEXICON), 6).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieval.lexical_score(F.col("text"), _terms(spark), LEXICON), 6).alias("score"))
 
 
 @query
 def cue_score(spark, sf_dir):
     """R4."""
-    rows = table(spark, sf_dir, "documents").withColumn("p", T.question_profile(F.lit(QUESTION), LEXICON))
+    rows = table(spark, sf_dir, "documents").withColumn("p", T.settled_profile(spark, QUESTION, LEXICON))
     return rows.select("doc_id", F.round(retrieval.cue_score(F.col("text"), F.col("p"), LEXICON), 6).alias("score"))
 
 

@@ -96,3 +96,9 @@ def test_rendering(spark):
         T.slug(F.lit("Ser Barristan's Häuser--")).alias("slug"), T.slug(F.lit("漢字")).alias("none"), T.score_bar(F.lit(7), 10).alias("bar"), T.csv_cell(F.lit('a "b",\n c')).alias("cell"), T.lucene_escape(F.lit("a+b (c)")).alias("lucene"), T.document_id(F.lit(1), F.lit(123)).alias("doc"), T.strip_fence(F.lit("```json\n[1]\n```")).alias("fence"), T.compact(F.lit(" a \t b﻿")).alias("compact")
     ).first()
     assert tuple(row) == ("ser-barristans-h-user", "unknown", "█" * 7 + "░" * 3, '"a ""b"", c"', "a b c", "s01e123", "[1]", "a b")
+
+
+def test_settled_question_equals_the_expressions(spark):
+    for question in ("Why did the king betray his wife's family?", "", "the of"):
+        own = spark.range(1).select(T.expanded_terms(F.lit(question)), T.settled_terms(spark, question), T.question_profile(F.lit(question)), T.settled_profile(spark, question)).first()
+        assert own[0] == own[1] and own[2] == own[3]

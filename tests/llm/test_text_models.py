@@ -176,6 +176,25 @@ def test_near_duplicate_stage_equals_brute_force(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).collect() == []
 
 
+def test_pipeline_drops_planted_near_copies(spark, tmp_path):
+    import corpus_pipeline
+    from ragloom.llm.simhash import fingerprint
+
+    rng = random.Random(16)
+    rows, far = [], 0
+    for i in range(30):
+        words = [f"w{rng.randrange(900)}" for _ in range(120)]
+        near, other = list(words), list(words)
+        near[10 + i] = near[80] = "changed"  # ten of 116 shingles differ: similarity 106 / 126
+        for k in range(0, 120, 20):
+            other[k] = "changed"  # 26 shingles differ: 90 / 142
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(other))]
+        far += (fingerprint(rows[-3][1]) ^ fingerprint(rows[-2][1])).bit_count() > 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, str(tmp_path)).collect()}
+    assert far > 20 and got == {i for i in range(90) if i % 3 != 1}
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)

@@ -195,6 +195,18 @@ def test_pipeline_drops_planted_near_copies(spark, tmp_path):
     assert far > 20 and got == {i for i in range(90) if i % 3 != 1}
 
 
+def test_pipeline_keeps_one_row_of_a_component_whatever_its_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    rows = [(None, text[0], "x"), (None, text[0].upper(), "y"), (None, text[0], "x")]  # no id at all
+    rows += [(3, text[1], "x"), (3, text[2], "x"), (2, text[2], "y")]  # an id in two components
+    rows += [(5, text[3], "x"), (5, text[3], "x"), (None, text[3], "x")]  # equal rows
+    docs = spark.createDataFrame([*rows, (None, text[4], "x")], "doc_id long, text string, source string")
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, str(tmp_path)).collect()]
+    assert sorted((r[1][0].lower(), r[0]) for r in got) == [("a", None), ("b", 3), ("c", 2), ("d", 5), ("e", None)]
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ragloom.llm import simhash
+from ragloom.llm import neighbours, simhash
 from ragloom.llm.components import connected_components
 from ragloom.llm.neighbours import embedding_components
 from ragloom.llm.topk import products, search, top_inner_products
@@ -105,6 +106,24 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_components(vectors.limit(0)).collect() == []
 
 
+def test_audit_sees_rare_and_small_links(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[1] = x[0] + 0.01 * rng.normal(size=32)  # a pair in 3,000 vectors
+    rare = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "rep long, vector array<double>, weight long")
+    nothing = spark.createDataFrame([], "a long, b long, n long")
+    assert neighbours.audit(rare, nothing, 0.95) == 0.0
+    assert neighbours.audit(rare, spark.createDataFrame([(0, -1, 1)], "a long, b long, n long"), 0.95) == 0.5
+    # A large cluster doesn't outweigh pairs.
+    y = np.concatenate([x[0] + 0.01 * rng.normal(size=(40, 32)), np.repeat(x[10:30], 2, axis=0) + 0.01 * rng.normal(size=(40, 32))])
+    mixed = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(y)], "rep long, vector array<double>, weight long")
+    large = spark.createDataFrame([(i, -1, 39) for i in range(40)], "a long, b long, n long")
+    assert neighbours.audit(mixed, large, 0.95) == 0.5
+    monkeypatch.setattr(neighbours, "found_links", lambda *_: nothing)
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_components(mixed.select(F.col("rep").alias("vec_id"), F.col("vector").alias("embedding")))
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(400, 12)) * rng.uniform(0.1, 3, size=(400, 1)), 3)

@@ -187,7 +187,7 @@ def linkable(vector: Column) -> Column:
 
 
 def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
-    """``a, b, n``: rows with ``n`` add to the links of ``a``; the others are links of a spanning forest.
+    """``a, b, n``: rows with ``n`` above 0 add to the links of ``a``; the others, of ``n`` 0, are links of a spanning forest.
 
     ``classes`` has ``rep, vector, weight``, all vectors distinct.
     """
@@ -254,7 +254,7 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
             back = np.bincount(xi[alone], q_weight[qi[alone]], len(x)).astype(np.int64)
             for reps, n in ((q_reps, got), (x_reps, back)):
                 a_all.append(reps[n > 0])
-                b_all.append(np.full((n > 0).sum(), -1, np.int64))
+                b_all.append(reps[n > 0])
                 n_all.append(n[n > 0])
             reps = np.unique(np.r_[q_reps[qi], x_reps[xi]])
             a, b = forest(len(reps), np.searchsorted(reps, q_reps[qi]), np.searchsorted(reps, x_reps[xi]))
@@ -274,7 +274,7 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float, first: int = A
     are never taken as found unseen. 1 where no vector has a link.
     """
     spark = classes.sparkSession
-    counted = checkpoint(found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
+    counted = checkpoint(found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
     order = F.xxhash64("rep", F.lit(1))
     parts, done, last = [], 0, None
     while True:
@@ -345,8 +345,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, setti
         s = s.wider()
     else:
         raise RuntimeError(f"recall of {recall:.3f} after the last widening, {RECALL} is asked for")
-    n = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("b != -1"))
+    n = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    parts = connected_components(found.where("n = 0"))
     known = classes.join(n, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     label = known.join(least, "component").select("vector", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

@@ -106,6 +106,16 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_components(vectors.limit(0)).collect() == []
 
 
+def test_a_vector_may_have_the_id_minus_one(spark):
+    e = np.eye(8)
+    ids = [-1, 5, -4, -1 - 2**40, 7]
+    near = [(i, [float(v) for v in e[0] + 0.01 * e[k + 1]]) for k, i in enumerate(ids)] + [(9, [float(v) for v in e[7]])]
+    for rows in (near, near[::-1], [near[0], near[2]], [near[2], near[0]]):
+        got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        linked = [i for i, _ in rows if i != 9]
+        assert all(got[i] == (min(linked), len(linked) - 1) for i in linked)
+
+
 def test_audit_sees_rare_and_small_links(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 32))

@@ -1,8 +1,8 @@
 """Operator 10: URL filters by a path-template tree.
 
 The paths of a host form a tree of segments. Where a branch's next segments vary (they
-hold digits, or are too many different ones) they become one wildcard; named siblings
-whose labels don't differ statistically are merged. A template whose smoothed part of
+hold digits, or are too many different ones) they become one wildcard; sibling branches
+whose labels don't differ statistically are merged, from the leaves up. A template whose smoothed part of
 bad labels is too high is rejected, unless a rule says otherwise.
 """
 
@@ -74,22 +74,36 @@ def templates(pages: DataFrame) -> DataFrame:
 def judge_templates(counts: DataFrame, prior: float) -> DataFrame:
     """``host, template, purity, rejected`` of rows ``host, template, n, bad`` (labelled ones).
 
-    Templates of one parent whose parts of bad labels lie within ``SIGMA`` standard
-    errors of the parent's mean share one estimate; the others stand alone.
+    Bottom-up at every level of a host's tree: sibling branches, each one whole after
+    the levels below, whose parts of bad labels lie within ``SIGMA`` standard errors of
+    their parent's are united, children included, and share one estimate; the others stand
+    alone. A branch is whole if all its children were united.
     """
-    parent = F.regexp_replace("template", r"/[^/]*$", "")
-    rows = counts.withColumn("parent", parent)
-    whole = rows.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    rows = rows.join(whole, ["host", "parent"])
-    mean = (F.col("all_bad") + SMOOTH * prior) / (F.col("all_n") + SMOOTH)
-    error = F.sqrt(mean * (1 - mean) / F.greatest("n", F.lit(1)))
-    similar = (F.col("n") == 0) | (F.abs(F.col("bad") / F.greatest("n", F.lit(1)) - mean) <= SIGMA * error)
-    rows = rows.withColumn("similar", similar)
-    merged = rows.where("similar").groupBy("host", "parent").agg(F.sum("n").alias("m_n"), F.sum("bad").alias("m_bad"))
-    rows = rows.join(merged, ["host", "parent"], "left")
-    n, bad = (F.when(F.col("similar"), F.col(f"m_{c}")).otherwise(F.col(c)) for c in ("n", "bad"))
-    purity = (bad + SMOOTH * prior) / (n + SMOOTH)
-    return rows.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected"))
+    # A page's own end is a last segment, so that a branch may be a template too.
+    leaves = checkpoint(counts.withColumn("parts", F.concat(F.array_remove(F.split("template", "/"), ""), F.array(F.lit("/")))))
+    leaves = leaves.withColumn("m_n", F.col("n")).withColumn("m_bad", F.col("bad"))
+    depth = leaves.agg(F.max(F.size("parts"))).first()[0] or 0
+    branches = None
+    for level in range(depth, 0, -1):
+        here = leaves.where(F.size("parts") == level).select("host", F.col("parts").alias("branch"), "n", "bad", F.lit(True).alias("whole"))
+        branches = here if branches is None else here.unionByName(branches)
+        parent = F.slice("branch", 1, level - 1)
+        rows = branches.withColumn("parent", parent)
+        sums = rows.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+        rows = rows.join(sums, ["host", "parent"])
+        smooth = (F.col("all_bad") + SMOOTH * prior) / (F.col("all_n") + SMOOTH)
+        error = F.sqrt(smooth * (1 - smooth) / F.greatest("n", F.lit(1)))
+        off = F.abs(F.col("bad") / F.greatest("n", F.lit(1)) - F.col("all_bad") / F.greatest("all_n", F.lit(1)))
+        rows = checkpoint(rows.withColumn("united", F.col("whole") & ((F.col("n") == 0) | (off <= SIGMA * error))))
+        merged = rows.where("united").groupBy("host", "parent").agg(F.sum("n").alias("u_n"), F.sum("bad").alias("u_bad"))
+        found = rows.where("united").select("host", "parent", "branch").join(merged, ["host", "parent"]).drop("parent")
+        # What is united higher up takes the place of what was below.
+        leaves = leaves.withColumn("branch", F.slice("parts", 1, level)).join(found, ["host", "branch"], "left")
+        leaves = leaves.withColumn("m_n", F.coalesce("u_n", "m_n")).withColumn("m_bad", F.coalesce("u_bad", "m_bad")).drop("branch", "u_n", "u_bad")
+        leaves = checkpoint(leaves)
+        branches = rows.groupBy("host", F.col("parent").alias("branch")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("united").alias("whole"))
+    purity = (F.col("m_bad") + SMOOTH * prior) / (F.col("m_n") + SMOOTH)
+    return leaves.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

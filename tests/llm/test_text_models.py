@@ -131,6 +131,17 @@ def test_templates_generalise_and_reject(spark):
     assert got[200]["template"] == "/a/b/c/d/**"
 
 
+def test_similar_branches_are_merged_at_every_level(spark):
+    rows = [(100 * b + i, f"http://{host}/{lang}/{i}") for b, (host, lang) in enumerate([("h.test", "en"), ("h.test", "fr"), ("g.test", "en"), ("g.test", "fr")]) for i in range(20)]
+    bad = lambda i: int(i // 100 == 2 or i // 100 < 2 and i % 4 == 0)
+    labels = spark.createDataFrame([(i, bad(i)) for i, _ in rows], "id long, bad int")
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    prior = 30 / 80
+    assert got[0]["template"] == "/en/*" and got[100]["template"] == "/fr/*"
+    assert got[0]["purity"] == got[100]["purity"] == round((10 + 4 * prior) / 44, 6)
+    assert (got[200]["verdict"], got[300]["verdict"]) == ("block", "allow") and got[200]["purity"] == round((20 + 4 * prior) / 24, 6)
+
+
 def test_pipeline_stages(spark, tables, tmp_path):
     import corpus_pipeline
 

@@ -21,7 +21,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Levels of the tree; deeper segments are one wildcard.
+#: Levels of the tree that are always told apart; deeper ones only where labels differ.
 DEPTH = 4
 #: Different children from which a branch is variable.
 MANY = 30
@@ -52,23 +52,39 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Adds ``template`` to rows with ``host, path, n, bad``: the segments, variable ones as ``*``.
+    """Adds ``template`` to rows with ``host, path, n, labelled, bad``: the segments, variable ones as ``*``.
 
     Level by level: children are counted for each (host, template so far), after a sum
-    for each child, so a host with a third of all pages is no large group.
+    for each child, so a host with a third of all pages is no large group. From ``DEPTH``
+    on a branch is split as long as it has labels of both kinds; what is below one
+    without is ``**``, as no label tells its parts apart.
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    head = F.transform(F.slice(segments, 1, DEPTH), lambda x: F.when(x.rlike(r"\d"), "*").otherwise(x))
-    rows = pages.withColumn("parts", F.when(F.size(segments) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)).withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
-        own = F.get("parts", F.lit(level))
-        rows = rows.withColumn("own", own)
+    parts = F.transform(segments, lambda x: F.when(x.rlike(r"\d"), "*").otherwise(x))
+    rows = pages.withColumn("parts", parts).withColumn("template", F.lit(""))
+    level, done = 0, []
+    while True:
+        rows = rows.withColumn("own", F.get("parts", F.lit(level)))
+        if level >= DEPTH:
+            labels = rows.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+            told = labels.where("b > 0 and b < l").select("host", "template", F.lit(True).alias("told"))
+            rows = checkpoint(salted_left_join(rows, told, ["host", "template"]))
+            rest = F.col("own").isNotNull() & F.col("told").isNotNull()
+            ended = F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/**")))
+            done.append(rows.where(~rest).withColumn("template", ended).drop("told", "own", "parts"))
+            rows = rows.where(rest).drop("told")
+            if rows.isEmpty():
+                break
         children = rows.where(F.col("own").isNotNull()).groupBy("host", "template", "own").agg(F.sum("n").alias("n"))
         many = children.groupBy("host", "template").agg((F.count("*") > MANY).alias("many")).where("many")
         rows = salted_left_join(rows, many, ["host", "template"])
         step = F.when(F.col("own").isNull(), "").when(F.col("many"), "/*").otherwise(F.concat(F.lit("/"), "own"))
         rows = rows.withColumn("template", F.concat("template", step)).drop("many", "own")
-    return rows.drop("parts")
+        level += 1
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def judge_templates(counts: DataFrame, prior: float) -> DataFrame:

@@ -131,6 +131,15 @@ def test_templates_generalise_and_reject(spark):
     assert got[200]["template"] == "/a/b/c/d/**"
 
 
+def test_long_paths_are_told_apart_by_their_labels(spark):
+    kinds = ("ads", "story")
+    rows = [(100 * k + i, f"http://h.test/x/y/news/local/region/{kind}/{i}") for k, kind in enumerate(kinds) for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "id long, bad int")
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert {got[i]["verdict"] for i in range(20)} == {"block"} and {got[100 + i]["verdict"] for i in range(20)} == {"allow"}
+    assert got[0]["template"] == "/x/y/news/local/region/ads/**"
+
+
 def test_similar_branches_are_merged_at_every_level(spark):
     rows = [(100 * b + i, f"http://{host}/{lang}/{i}") for b, (host, lang) in enumerate([("h.test", "en"), ("h.test", "fr"), ("g.test", "en"), ("g.test", "fr")]) for i in range(20)]
     bad = lambda i: int(i // 100 == 2 or i // 100 < 2 and i % 4 == 0)

@@ -82,7 +82,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def groups(prints: DataFrame, limit: int = GROUP) -> DataFrame:
+def groups(prints: DataFrame, limit: int = GROUP, *, budget: int = BUDGET) -> DataFrame:
     """``fixed, held, bits``: each distinct fingerprint in its groups of at most ``limit``.
 
     ``fixed`` is the mask on which the group's members agree, ``held`` their value there.
@@ -92,7 +92,7 @@ def groups(prints: DataFrame, limit: int = GROUP) -> DataFrame:
     done, todo, masks = [], prints.select("bits"), [0]
     while True:
         todo = todo.withColumn("old", F.col("fixed")) if "fixed" in todo.columns else todo.withColumn("old", F.lit(0).cast("long"))
-        children = {m: [m | b for b in cut_free(~m & (1 << 64) - 1)] for m in masks}
+        children = {m: [m | b for b in cut_free(~m & (1 << 64) - 1, budget + 1)] for m in masks}
         options = F.create_map(*[x for m, c in children.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(k)).cast("long") for k in c]))])
         dealt = todo.select("bits", F.explode(options[F.col("old")]).alias("fixed")).withColumn("held", F.col("bits").bitwiseAND(F.col("fixed"))).distinct()
         dealt = checkpoint(dealt)
@@ -164,8 +164,8 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     spark = prints.sparkSession
     small_batches(spark, 20_000)
-    members = groups(prints)
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (BUDGET + 1) * prints.count() // SHARD)
+    members = groups(prints, budget=budget)
+    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (budget + 1) * prints.count() // SHARD)
     dealt = members.withColumn("shard", F.pmod(F.xxhash64("fixed", "held"), F.lit(shards * 4))).repartition(shards, "shard")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

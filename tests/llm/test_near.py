@@ -77,6 +77,20 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     assert components_of(len(bits), [(place[a], place[b]) for a, b in links]) == want
 
 
+def test_links_of_a_wider_budget(spark, monkeypatch):
+    monkeypatch.setattr(simhash.groups, "__defaults__", (8,))
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    spread = sum(1 << k for k in (2, 20, 40, 60))  # a bit in each of three blocks, and one more
+    bits = np.array(sorted({x for b in base for x in (b, b ^ spread)}), np.uint64)
+    rows = spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "bits long")
+    place = {int(x): i for i, x in enumerate(bits.view(np.int64))}
+    diff = np.bitwise_count(bits[:, None] ^ bits[None])
+    want = components_of(len(bits), [(i, j) for i, j in zip(*np.nonzero(diff <= 4), strict=True) if i < j])
+    links = [(place[r["a"]], place[r["b"]]) for r in simhash.links(rows, 4).collect()]
+    assert components_of(len(bits), links) == want and len(set(want)) < len(bits)
+
+
 def test_simhash_rows(spark):
     rows = [(5, "one two three four"), (2, "One TWO three four"), (9, None), (7, ""), (8, "  "), (None, "one two three four"), (2, "One TWO three four"), (11, "other text here now")]
     docs = spark.createDataFrame([(i, t, 0, "z") for i, t in rows], "doc_id long, text string, bits int, component string")

@@ -2,34 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.sources.workers import checkpoint
+
 #: Longest path that is looked for.
 MAX_HOPS = 6
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through ``spark.checkpoint.dir``, or a temporary folder where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ragloom-"))
-    return df.checkpoint()
-
-
-def _distinct_in_order(value: str) -> Column:
-    """Distinct non-empty values in the order of ``ord``."""
-    kept = F.when(F.col(value) != "", F.struct("ord", value))
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x[value]))
-
-
 def aggregate_edges(triples: DataFrame) -> DataFrame:
-    """One edge for each (subject, relation, object) with its provenance and count."""
-    return triples.groupBy("subject_id", "relation", "object_id").agg(
-        _distinct_in_order("chunk_id").alias("chunk_ids"), _distinct_in_order("document_id").alias("episodes"), _distinct_in_order("description").alias("descriptions"), F.count("*").alias("count")
-    )
+    """One edge for each (subject, relation, object) with its provenance and count.
+
+    Values are distinct, in the order in which ``ord`` has them first; empty ones drop
+    out. A value's repeats collapse before the shuffle, so that a list holds what the
+    edge stores and nothing more.
+    """
+    keys = ["subject_id", "relation", "object_id"]
+    kinds = {"chunk_ids": "chunk_id", "episodes": "document_id", "descriptions": "description"}
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds.items()]))
+    # The count of an edge's rows is that of one of the kinds, empty values included.
+    each = triples.select(*keys, "ord", values.alias("x")).groupBy(*keys, "x.kind", "x.value").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("value") != ""), F.struct("ord", "value")))), lambda x: x["value"]).alias(k)
+    return each.groupBy(*keys).agg(*[listed(k) for k in kinds], F.sum(F.when(F.col("kind") == "chunk_ids", F.col("n")).otherwise(0)).alias("count"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,8 +57,11 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def two_hop_cycles(edges: DataFrame, relation: str) -> DataFrame:
-    """``a, b`` with the relation in both directions, once for each direction."""
-    own = hop(edges, relation).select("subject_id", "object_id")
+    """``a, b`` with the relation in both directions, once for each direction.
+
+    A match never uses one relationship twice, so a loop alone is no cycle.
+    """
+    own = hop(edges, relation).where("subject_id != object_id").select("subject_id", "object_id")
     back = own.toDF("object_id", "subject_id")
     return own.join(back, ["subject_id", "object_id"]).select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"))
 
@@ -88,6 +86,21 @@ def chain(edges: DataFrame, relations: list[str]) -> DataFrame:
     return out.select(*[f"n{i}" for i in range(len(relations) + 1)])
 
 
+def chain_counts(edges: DataFrame, relations: list[str]) -> DataFrame:
+    """``n0, end, paths``: how many paths of ``chain`` lead from where to where.
+
+    Paths are counted after every hop, so a step joins one row for each start and node
+    reached instead of one for each path, however many paths meet in a node.
+    """
+    now = None
+    for r in relations:
+        ends = ("object_id", "subject_id") if r.startswith("<") else ("subject_id", "object_id")
+        step = hop(edges, r.lstrip("<")).select(F.col(ends[0]).alias("at"), F.col(ends[1]).alias("end"))
+        rows = step.select(F.col("at").alias("n0"), "end", F.lit(1).cast("long").alias("paths")) if now is None else now.withColumnRenamed("end", "at").join(step, "at")
+        now = rows.groupBy("n0", "end").agg(F.sum("paths").alias("paths"))
+    return now
+
+
 def same_pair(edges: DataFrame, one: str, two: str) -> DataFrame:
     """Ordered pairs that have both relations."""
     keys = ["subject_id", "object_id"]
@@ -129,7 +142,8 @@ def hop_distances(edges: DataFrame, start: str, hops: int = MAX_HOPS) -> DataFra
     before drop out. Every level is checkpointed, none reaches the driver.
     """
     spark = edges.sparkSession
-    both = checkpoint(undirected(edges.select("subject_id", "object_id")).where("subject_id != object_id").distinct())
+    own = edges.select("subject_id", "object_id").where("subject_id != object_id")
+    both = checkpoint(undirected(own).distinct())
     frontier = spark.createDataFrame([(start, 0, None)], "node string, hops int, parent string")
     levels, seen = [frontier], frontier
     for level in range(1, hops + 1):
@@ -157,25 +171,6 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = MAX_HOPS)
     return found.sparkSession.createDataFrame(path[::-1], "step int, node string")
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component``: the smallest node that pairs ``a, b`` lead to.
-
-    Every round a node takes the smallest label around it and then that label's own,
-    so labels travel in leaps.
-    """
-    both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).where("a is not null and b is not null").distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, "node").withColumn("to", F.least("component", "near"))
-        leap = labels.select(F.col("node").alias("to"), F.col("component").alias("leap"))
-        new = checkpoint(moved.join(leap, "to", "left").select("node", F.least("to", F.coalesce("leap", "to")).alias("component"), (F.least("to", F.coalesce("leap", "to")) != F.col("component")).alias("changed")))
-        labels = new.select("node", "component")
-        if new.where("changed").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``what, key, n``: totals, nodes by type, edges by relation."""
     total = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), F.lit("all").alias("key"), "n").unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), F.lit("all").alias("key"), "n"))
@@ -184,16 +179,33 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return total.unionByName(by_type).unionByName(by_relation)
 
 
-def inspect(nodes: DataFrame, edges: DataFrame, ontology) -> dict[str, DataFrame]:
-    """Quality probes of a graph, by name."""
+def names_within_names(nodes: DataFrame, kind: str, most: int = 20) -> DataFrame:
+    """The first ``most`` pairs ``a, b`` of nodes of a type where a's name holds b's, a's id the smaller.
+
+    Names meet by a shared token instead of all with all: what holds a name holds its
+    longest inner run of letters and digits, of which the first and the last may be cut
+    within a word and so are looked for in every part of a token.
+    """
+    types = nodes.where(F.col("type") == kind).select("id", "name", F.lower("name").alias("low"))
+    tokens = F.regexp_extract_all("low", F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    # Any token of b lies within a token of a; a's tokens are listed with all their parts of b's length.
+    longest = F.reverse(F.array_sort(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))[0]["t"]
+    b = types.select(F.col("id").alias("b_id"), F.col("name").alias("b"), F.col("low").alias("b_low"), F.coalesce(longest, F.lit("")).alias("part"))
+    parts = F.flatten(F.transform(tokens, lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(F.sequence(i, F.length(t)), lambda j: F.substring(t, i, j - i + 1))))))
+    a = types.select(F.col("id").alias("a_id"), F.col("name").alias("a"), F.col("low").alias("a_low"), F.explode(F.array_distinct(F.concat(parts, F.array(F.lit(""))))).alias("part"))
+    known = b.select("part").distinct()
+    found = a.join(known, "part", "left_semi").join(b, "part").where((F.col("a_id") < F.col("b_id")) & F.contains("a_low", "b_low"))
+    return found.select("a", "b").orderBy("a", "b").limit(most)
+
+
+def inspect(nodes: DataFrame, edges: DataFrame, ontology, kind: str | None = None) -> dict[str, DataFrame]:
+    """Quality probes of a graph, by name; doubtful names are looked for in one type, the ontology's first."""
     allowed = F.broadcast(ontology.allowed(nodes.sparkSession).toDF("relation", "a_type", "b_type"))
-    types = nodes.select("id", "name", "type")
-    containing = types.alias("x").join(types.alias("y"), (F.col("x.type") == F.col("y.type")) & (F.col("x.id") < F.col("y.id")) & F.contains(F.lower("x.name"), F.lower("y.name"))).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
     return {
         "top_per_type": top_n(nodes, "type", "mentions", 12, ["id"]),
         "self_loops": self_loops(edges),
         "violations": named(edges, nodes).join(allowed, ["relation", "a_type", "b_type"], "left_anti"),
         "isolated": isolated(nodes, edges),
-        "names_within_names": containing.orderBy("a", "b").limit(20),
+        "names_within_names": names_within_names(nodes, kind or ontology.node_types[0]),
         "samples": top_n(named(edges, nodes), "relation", "count", 4, ["subject_id", "object_id"]),
     }

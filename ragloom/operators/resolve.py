@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import ontology as O
 from ragloom.functions import text as T
-from ragloom.operators.graph import components
+from ragloom.operators.components import connected_components
 from ragloom.operators.triples import is_placeholder
 
 
@@ -54,7 +54,7 @@ def entities(decided: DataFrame) -> DataFrame:
     rows = decided.where("keep").withColumn("key", F.concat("kind", F.lit("::"), name)).withColumn("_order", order)
     found = rows.groupBy("key").agg(
         F.min_by("canonical", "_order").alias("canonical_name"),
-        F.first("kind").alias("type"),
+        F.first("kind").alias("type"),  # equal in a group, as it is part of the key
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_order", "surface"))), lambda x: x["surface"])).alias("aliases"),
         F.sum("count").alias("mentions"),
     )
@@ -69,7 +69,7 @@ def merge(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The member with most mentions (of equals, the smallest id) wins; ``merged_ids`` lists all.
     """
-    parts = components(pairs)
+    parts = connected_components(pairs)
     rows = found.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("_part", F.coalesce("component", "id"))
     order = F.struct((-F.col("mentions")).alias("m"), "id")
     return rows.withColumn("_order", order).groupBy("_part").agg(

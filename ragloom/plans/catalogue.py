@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
+from ragloom.operators.components import connected_components
 from ragloom.operators import chunking, evaluation, graph, linking, projection, resolve, retrieval, triples
 from ragloom.plans import cypher, derived
 from ragloom.plans.derived import LEXICON, ONTOLOGY
 from ragloom.plans.oracles import ORACLES, QUESTION
 from ragloom.sources import readers, sinks
 from ragloom.sources.readers import table
+from ragloom.sources.workers import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -234,7 +236,7 @@ def merge_closure(spark, sf_dir):
     reached = table(spark, sf_dir, "part").select("p_partkey", F.array(*[F.floor(F.col("p_partkey") / 3**i) for i in range(16)]).alias("ks"))
     steps = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.when(F.forall(F.slice("ks", 1, i + 1), lambda k: (k > 0) & (k % 7 != 0)), F.struct(F.get("ks", i - 1).alias("a"), F.get("ks", i).alias("b"))))
     pairs = reached.select(F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select(name(F.col("x.a")).alias("a"), name(F.col("x.b")).alias("b")).distinct()
-    return graph.components(pairs)
+    return connected_components(pairs)
 
 
 def _supplies(spark, sf_dir) -> DataFrame:
@@ -313,8 +315,8 @@ def structural_join(spark, sf_dir):
 @query
 def multi_hop(spark, sf_dir):
     """Regions to their customers' parts."""
-    paths = graph.chain(derived.edges(spark, sf_dir), ["<IN_REGION", "<IN_NATION", "PLACED", "CONTAINS"])
-    return paths.groupBy(F.col("n0").alias("region")).agg(F.count("*").alias("paths"), F.countDistinct("n4").alias("parts"))
+    paths = graph.chain_counts(derived.edges(spark, sf_dir), ["<IN_REGION", "<IN_NATION", "PLACED", "CONTAINS"])
+    return paths.groupBy(F.col("n0").alias("region")).agg(F.sum("paths").alias("paths"), F.count("*").alias("parts"))
 
 
 @query
@@ -453,8 +455,7 @@ def csv_lines(spark, sf_dir):
 def jsonl_roundtrip(spark, sf_dir):
     """Documents as JSON lines and back."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("chunk_id"), F.col("lang").alias("title"), "text")
-    graph.checkpoint(spark.range(1))  # sets the shared folder where it is unset
-    path = f"{spark.sparkContext.getCheckpointDir()}/jsonl-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/jsonl-{uuid4().hex}"
     sinks.json_lines(rows, path)
     return readers.json_lines(spark, path, readers.CHUNKS).select("document_id", "title", F.sha1("text").alias("text_hash"))
 

@@ -188,7 +188,7 @@ ORACLES: dict[str, str] = {
     "rel_alternation": f"WITH {GRAPH} SELECT subject_id AS a, count(*) AS n FROM edges WHERE relation IN ('PLACED', 'SUPPLIES') GROUP BY 1",
     "structural_join": "WITH t AS (SELECT 'customer:' || o_custkey AS a, 'part:' || l_partkey AS b, l_returnflag = 'R' AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a, b FROM t GROUP BY a, b HAVING bool_or(r) AND bool_or(NOT r)",
     "multi_hop": f"WITH {GRAPH} SELECT a.object_id AS region, count(*) AS paths, count(DISTINCT d.object_id) AS parts FROM edges a JOIN edges b ON b.object_id = a.subject_id AND b.relation = 'IN_NATION' JOIN edges c ON c.subject_id = b.subject_id AND c.relation = 'PLACED' JOIN edges d ON d.subject_id = c.object_id AND d.relation = 'CONTAINS' WHERE a.relation = 'IN_REGION' GROUP BY 1",
-    "two_hop_cycle": f"WITH {REPLIES} SELECT x.relation, x.subject_id AS a, x.object_id AS b FROM replies x JOIN replies y ON x.subject_id = y.object_id AND x.object_id = y.subject_id AND x.relation = y.relation WHERE x.relation = (SELECT min(relation) FROM replies)",
+    "two_hop_cycle": f"WITH {REPLIES} SELECT x.relation, x.subject_id AS a, x.object_id AS b FROM replies x JOIN replies y ON x.subject_id = y.object_id AND x.object_id = y.subject_id AND x.relation = y.relation WHERE x.subject_id <> x.object_id AND x.relation = (SELECT min(relation) FROM replies)",
     "self_loops": f"WITH {REPLIES} SELECT subject_id, relation FROM replies WHERE subject_id = object_id",
     "isolated_nodes": "SELECT 'customer:' || c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "name_containment": "SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey AND contains(lower(x.n_name), lower(y.n_name)) ORDER BY a, b LIMIT 20",

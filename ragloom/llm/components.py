@@ -1,48 +1,7 @@
-"""Connected components of links, as a loop of joins."""
+"""Connected components, as the operators of this subpackage call them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ragloom.operators.components import connected_components
 
-from ragloom.llm.shared import checkpoint
-
-#: Rounds after which something must be wrong: each round halves the distances at least.
-MAX_ROUNDS = 60
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, component``: the smallest node reachable, for every node that has a link.
-
-    Alternates large-star and small-star steps (Kiveris et al., "Connected components
-    in MapReduce and beyond"): each step points a node's neighbours at the smallest
-    one it knows. A node's neighbours are never gathered into a list, so a hub with
-    many links is one aggregated key. Null ends drop out; loops are no links.
-    """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = checkpoint(edges)
-    before = None
-    for _ in range(MAX_ROUNDS):
-        edges = checkpoint(_small_star(_large_star(edges)))
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour larger than the node goes to the node's smallest neighbour or itself."""
-    both = edges.select("u", "v").union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """The node and its smaller neighbours go to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+__all__ = ["connected_components"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ragloom.sources.workers import ship_code
+from ragloom.sources.workers import checkpoint, remove, shared_folder, ship_code
+
+__all__ = ["append_columns", "checkpoint", "first_by_hash", "hot_left_join", "load", "public_path", "remove", "shared_folder", "small_batches"]
 
 #: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 512
@@ -30,20 +31,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset (tests, a laptop)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ragloom-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def append_columns(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str) -> DataFrame:
     """``docs`` with further columns made from its texts; rows never leave their task.
 
@@ -65,18 +52,42 @@ def append_columns(docs: DataFrame, text_col: str, make: Callable[[], Callable[[
     return plain.mapInArrow(run, kinds).toDF(*[f.name for f in own], *[f.name for f in more])
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+#: A key of a join is hot from this many rows on, and from a thousandth of all rows on; the
+#: parts into which its rows are dealt.
+HOT, SALTS = 50_000, 64
+
+
+def hot_left_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, hot: int = HOT) -> DataFrame:
     """Left join whose keys may be hot on the left; ``right`` has one row a key.
 
-    Every right row is repeated once a salt, every left row takes one salt from a
-    hash of its own columns, so a key with a third of all rows spreads evenly.
+    ``sizes`` has the keys and ``n``, the rows that ``left`` has of each. Only hot keys
+    are salted: their left rows take one of ``SALTS`` salts from a hash of their own
+    columns, their right row is repeated for each. Hot keys hold a thousandth of all
+    rows, so there are a thousand at most, and these are broadcast.
     """
-    salt = "_salt_of_join"
-    spread = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
-    copied = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt, salts = "_salt_of_join", "_salts_of_join"
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = F.broadcast(sizes.where(F.col("n") >= max(hot, total // 1000)).select(*on, F.lit(SALTS).alias(salts)))
+    own = [F.col(f"`{c}`") for c in left.columns]
+    spread = left.join(large, on, "left").withColumn(salt, F.when(F.col(salts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int"))).drop(salts)
+    copied = right.join(large, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(salts)
     return spread.join(copied, [*on, salt], "left").drop(salt)
 
 
+def first_by_hash(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hashes of a key that no two rows share.
+
+    A threshold from the known number of rows leaves about as many as are wanted before
+    anything is ordered, so no task or driver sees ``most`` rows of every partition.
+    """
+    n = rows.count()
+    place = F.xxhash64(F.lit(seed), F.col(key))
+    if n > most:
+        part = min(1.0, (most + 6 * most**0.5 + 10) / n)
+        rows = rows.where(place <= F.lit(-(2**63) + int(part * (2**64 - 1)) if part < 1 else 2**63 - 1))
+    return rows.orderBy(place, key).limit(most)
+
+
 def public_path(name: str) -> str:
     """Where the installed vocabulary file ``name`` lies on this machine."""
     import public_tokenizers

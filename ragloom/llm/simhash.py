@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.components import connected_components
-from ragloom.llm.shared import checkpoint, load, small_batches
+from ragloom.llm.shared import checkpoint, hot_left_join, load, small_batches
 
 #: Bits that may differ, words in a shingle, and the hash's seed.
 BUDGET, SHINGLE, SEED = 2, 3, 42
@@ -37,24 +37,30 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 if it has no word.
-
-    Only A-Z are lower-cased. Fewer words than a shingle takes make one shingle.
-    """
-    words = WORD.findall((text or "").encode("utf-8", "replace").translate(UPPER_TO_LOWER))
-    if not words:
-        return 0
-    h, n = xxhash.xxh64_intdigest, max(1, len(words) - SHINGLE + 1)
-    if len(words) < SHINGLE:
-        hashes = [h(b" ".join(words), SEED)]
-    else:
-        hashes = [h(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:], strict=False)]
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    table = np.array(hashes, "<u8")
-    for i in range(0, n, 65536):
-        counts += np.unpackbits(table[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    for i in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased; none of a null or blank one."""
+    return WORD.findall((text or "").encode("utf-8", "replace").translate(UPPER_TO_LOWER))
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; fewer words than a shingle takes make one."""
+    h = xxhash.xxh64_intdigest
+    if len(words) < size:
+        return np.array([h(b" ".join(words), SEED)] if words else [], "<u8")
+    return np.array([h(b" ".join(x), SEED) for x in zip(*[words[i:] for i in range(size)], strict=False)], "<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of a text's word shingles, repeats included; 0 if it has no word."""
+    return majority(shingle_hashes(words_of(text)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,10 +77,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def cut_free(free: int, parts: int = BUDGET + 1) -> list[int]:
-    """Masks of the blocks into which the free bits are cut, highest bits first."""
+    """Masks of the ``parts`` blocks into which the free bits are cut evenly, highest bits first."""
     bits = [i for i in range(63, -1, -1) if free >> i & 1]
-    size = -(-len(bits) // parts)
-    return [sum(1 << i for i in bits[k : k + size]) for k in range(0, len(bits), size)]
+    ends = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << i for i in bits[x:y]) for x, y in zip(ends, ends[1:], strict=False) if y > x]
 
 
 def signed(x: int) -> int:
@@ -88,7 +94,11 @@ def groups(prints: DataFrame, limit: int = GROUP, *, budget: int = BUDGET) -> Da
     ``fixed`` is the mask on which the group's members agree, ``held`` their value there.
     Groups that are too large are cut within their free bits until none is left: no
     fingerprint is dropped. The masks are few and depend on the number of cuts alone.
+    A limit below ``2 ** budget`` is refused: a group above the limit could have so few
+    free bits left that they make no block more than may differ, and would lose links.
     """
+    if limit < 2**budget:
+        raise ValueError(f"groups of {limit} can't hold what {budget} bits may differ in")
     done, todo, masks = [], prints.select("bits"), [0]
     while True:
         todo = todo.withColumn("old", F.col("fixed")) if "fixed" in todo.columns else todo.withColumn("old", F.lit(0).cast("long"))
@@ -137,23 +147,29 @@ def trie_pairs(group: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> tup
     return a0, b0
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest: as many as connect what the given links connect."""
-    up = list(range(n))
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` members the smallest one that the links lead to, by whole-array passes."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            leap = label[label]
+            if (leap == label).all():
+                break
+            label = leap
+    return label
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep.append(i)
-    return a[keep], b[keep]
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what the given ones connect: every member with its smallest."""
+    label = labels(n, a, b)
+    own = np.flatnonzero(label != np.arange(n))
+    return own, label[own]
 
 
 def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -187,7 +203,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the smallest id reachable by links, its own included. Null,
     empty and blank texts have fingerprint zero and link like any other. A null id
     takes part in no component's minimum, and gets its component's id (null where no
-    other id is in it). Repeated rows each give a row; extra columns are left out.
+    other id is in it). Texts of any length are read whole, one at a time; repeated rows
+    each give a row; an empty table gives no rows; extra columns are left out.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col))
     classes = checkpoint(prints.groupBy("bits").agg(F.min(id_col).alias("least")))
@@ -195,9 +212,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = classes.join(parts.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     label = joined.join(least, "component").select("bits", "component_id")
-    return prints.join(label, "bits").select(F.col(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    sizes = prints.groupBy("bits").agg(F.count("*").alias("n"))
+    return hot_left_join(prints, label, ["bits"], sizes).select(F.col(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents."""
+    """Components of all documents; odd rows as in ``simhash_components``."""
     return simhash_components(load(spark, sf_dir, "documents"))

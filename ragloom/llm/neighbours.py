@@ -11,6 +11,7 @@ overlap and the search, and is an error after the last widening.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.components import connected_components
-from ragloom.llm.shared import checkpoint, load, salted_left_join, small_batches
+from ragloom.llm.shared import checkpoint, hot_left_join, load, small_batches
 from ragloom.llm.simhash import forest
 from ragloom.llm.topk import usable
 
+log = logging.getLogger(__name__)
+
 #: Cosine from which vectors are linked.
 THRESHOLD = 0.95
 #: The centroids are fitted to a sample of a sixteenth of the vectors, of ``SAMPLE`` rows at
@@ -167,17 +170,21 @@ class Cells:
             self.first[dim] = sum(len(c) for d, c in self.by_dim.items() if d < dim)
 
     def assign(self, vectors: list) -> list[list[int]]:
-        """Each vector's cells, its home first."""
-        out = []
-        for v in vectors:
-            dim = len(v)
-            if dim not in self.by_dim:
-                out.append([-dim])
-                continue
-            c = self.by_dim[dim]
-            d = np.sqrt(np.maximum(0, 2 - 2 * (c @ unit([v])[0])))
-            near = np.argsort(d, kind="stable")[: max(self.settings.cells, len(c).bit_length())]
-            out.append([int(i) + self.first[dim] for i in near[d[near] <= d[near[0]] + self.slack]])
+        """Each vector's cells, its home first; all vectors of one length at once."""
+        out: list[list[int]] = [[-len(v)] for v in vectors]
+        sizes = np.array([len(v) for v in vectors])
+        for dim, c in self.by_dim.items():
+            own = np.flatnonzero(sizes == dim)
+            most = min(len(c), max(self.settings.cells, len(c).bit_length()))
+            for at in range(0, len(own), 512):
+                part = own[at : at + 512]
+                d = np.sqrt(np.maximum(0, 2 - 2 * (unit([vectors[i] for i in part]) @ c.T)))
+                near = np.argpartition(d, most - 1, axis=1)[:, :most]
+                near = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1)), axis=1), 1)
+                d = np.take_along_axis(d, near, 1)
+                ok = d <= d[:, :1] + self.slack
+                for i, cells, keep in zip(part.tolist(), near + self.first[dim], ok, strict=True):
+                    out[i] = cells[keep].tolist()
         return out
 
 
@@ -186,6 +193,11 @@ def linkable(vector: Column) -> Column:
     return usable(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def place(vector: str, seed: int = 0) -> Column:
+    """A number from 0 to 1 that depends on the vector alone: the order of samples."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(vector)), 11) / float(1 << 53)
+
+
 def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     """``a, b, n``: rows with ``n`` above 0 add to the links of ``a``; the others, of ``n`` 0, are links of a spanning forest.
 
@@ -194,7 +206,9 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     spark = classes.sparkSession
     counts = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
     rows = min(max(SAMPLE, sum(counts.values()) // 16), max(SAMPLE // 8, SAMPLE_NUMBERS // max(counts, default=1)))
-    sample = classes.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(rows).toPandas()["vector"]
+    part = rows / max(1, sum(counts.values()))
+    chosen = classes.select("vector", place("vector").alias("place")).where(F.col("place") < part)  # a threshold: nothing is ordered before it is few
+    sample = chosen.orderBy("place").limit(rows).select("vector").toPandas()["vector"]
     cells = spark.sparkContext.broadcast(Cells(sample, counts, s, threshold))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +221,8 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     # A cell with more members than a block is cut into blocks; queries of each meet all of them.
     blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)  # a row a centroid, and these are fewer than the sample
-    placed = checkpoint(members.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
+    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    placed = members.join(blocks, "cell").withColumn("own", own)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         reps = rows["rep"].to_numpy(np.int64)
@@ -222,7 +237,9 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     shards = placed.select("cell", "own", "rep", "vector").groupBy("cell", "own").applyInPandas(build, "rep long, ends array<long>")
     # Bounded lists: two directions of ``degree`` edges for each of at most ``cells`` shards.
     graph = shards.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
-    vertices = checkpoint(placed.join(graph, "rep").withColumn("at_home", F.col("cell") == F.col("cells")[0]))
+    # The lists come to one row a vector, before it is dealt to its cells again.
+    listed = checkpoint(dealt.join(graph, "rep"))
+    vertices = listed.withColumn("cell", F.explode("cells")).join(blocks, "cell").withColumn("own", own).withColumn("at_home", F.col("cell") == F.col("cells")[0])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     targets = vertices.withColumn("other", other).select("cell", F.col("own").alias("c_block"), F.col("other").alias("q_block"), "rep", "vector", "weight", "cells", "ends", F.lit(True).alias("is_target"), (F.col("at_home") & (F.col("own") == F.col("other"))).alias("is_query"))
     askers = vertices.where("at_home and blocks > 1").withColumn("other", other).where("other != own").select("cell", F.col("other").alias("c_block"), F.col("own").alias("q_block"), "rep", "vector", "weight", "cells", F.array().cast("array<long>").alias("ends"), F.lit(False).alias("is_target"), F.lit(True).alias("is_query"))
@@ -240,7 +257,8 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
         own = np.array([place.get(r, -1) for r in q_reps.tolist()])
         x, q = unit(targets["vector"]), unit(queries["vector"])
         x_weight, q_weight = targets["weight"].to_numpy(np.int64), queries["weight"].to_numpy(np.int64)
-        q_cells = [set(c) for c in queries["cells"]]
+        widest = max(map(len, queries["cells"]))
+        q_cells = np.array([[*c, *[c[0]] * (widest - len(c))] for c in queries["cells"]], np.int64)
         x_home = np.array([c[0] for c in targets["cells"]])
         a_all, b_all, n_all = [], [], []
         for at in range(0, len(q), 512):
@@ -250,7 +268,7 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
             qi, xi = qi[ok], xi[ok]
             got = np.bincount(qi, x_weight[xi], len(q)).astype(np.int64)
             # The other end counts this link where it looks for it itself; else it is counted here.
-            alone = np.array([x_home[j] not in q_cells[i] for i, j in zip(qi.tolist(), xi.tolist(), strict=True)], bool) if len(qi) else np.zeros(0, bool)
+            alone = ~(q_cells[qi] == x_home[xi, None]).any(axis=1)
             back = np.bincount(xi[alone], q_weight[qi[alone]], len(x)).astype(np.int64)
             for reps, n in ((q_reps, got), (x_reps, back)):
                 a_all.append(reps[n > 0])
@@ -275,23 +293,19 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float, first: int = A
     """
     spark = classes.sparkSession
     counted = checkpoint(found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
-    order = F.xxhash64("rep", F.lit(1))
-    parts, done, last = [], 0, None
-    while True:
-        rest = classes if last is None else classes.where((order > last[0]) | ((order == last[0]) & (F.col("rep") > last[1])))
-        # Of a large table a block is no more than 8,192 vectors; further blocks follow.
-        asked = rest.select("rep", "vector", order.alias("place")).orderBy("place", "rep").limit(min(first * 4 ** len(parts), 64 * AUDIT)).toPandas()
+    order, n = place("vector", 1), max(1, classes.count())
+    recalls, start, size = [], 0.0, float(first)
+    while start < 1.0 and len(recalls) < linked:
+        # Of a large table a block is some 8,192 vectors at most; further blocks follow.
+        end = min(1.0, start + min(size, 64.0 * AUDIT) / n)
+        asked = classes.select("rep", "vector").where((order >= start) & (order < end)).toPandas()
+        start, size = end, 4 * size
         if not len(asked):
-            break
-        last = (int(asked["place"].iloc[-1]), int(asked["rep"].iloc[-1]))
+            continue
         true = true_links(classes, asked, threshold)
         ids = F.broadcast(spark.createDataFrame([(int(r),) for r in true], "rep long")) if true else None
         got = {r["rep"]: r["n"] for r in counted.join(ids, "rep").collect()} if true else {}
-        parts.append([min(1.0, got.get(r, 0) / n) for r, n in true.items()])
-        done += len(true)
-        if done >= linked:
-            break
-    recalls = [x for p in parts for x in p]
+        recalls += [min(1.0, got.get(r, 0) / m) for r, m in true.items()]
     return float(np.mean(recalls)) if recalls else 1.0
 
 
@@ -324,22 +338,26 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, setti
     Vectors that are null, zero or hold null or non-finite components link with nothing,
     nor do those of unequal lengths. Equal vectors are searched once and count as often
     as they occur. Rows that share an id are vectors of their own; a null id is kept
-    apart: it counts as a link, but never names a component. Extra columns are left out.
+    apart: it counts as a link, but never names a component. Components of which no
+    vector has an id have a null ``component_id``. An empty table gives no rows; extra
+    columns are left out. Raises ``RuntimeError`` where the audited recall stays below
+    ``RECALL`` after the last widening; the recall that was found goes to the log.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2048)
     s = settings or Settings()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), linkable(F.col(vector_col)).alias("ok"))
-    classes = rows.where("ok").groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
-    # A class without an id gets a negative number of its own that is no component's name.
-    classes = checkpoint(classes.withColumn("rep", F.coalesce("least", -2 - F.abs(F.xxhash64("vector") / 4).cast("long"))).dropDuplicates(["rep", "vector"]))
-    clash = classes.groupBy("rep").count().where("count > 1").limit(1).count()
-    if clash:  # one id with several vectors: number the classes anew
-        classes = checkpoint(classes.withColumn("rep", F.xxhash64("rep", "vector")))
+    # Equal vectors share 128 bits of hash, by which rows find their class again without their vectors.
+    keys = [F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2")]
+    usable_ = rows.where("ok").select("id", "vector", *keys)
+    classes = usable_.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("weight"))
+    # Numbered where they lie: unique, whatever ids there are, and fixed by the checkpoint.
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
     recall, found = 0.0, None
     for _ in range(WIDEN):
         found = found_links(classes, threshold, s)
         recall = audit(classes, found, threshold)
+        log.info("recall of the links of audited vectors: %.4f", recall)
         if recall >= RECALL:
             break
         s = s.wider()
@@ -347,10 +365,12 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, setti
         raise RuntimeError(f"recall of {recall:.3f} after the last widening, {RECALL} is asked for")
     n = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("n = 0"))
-    known = classes.join(n, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = known.join(least, "component").select("vector", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = salted_left_join(rows.where("ok").select("id", "vector"), label, ["vector"])
+    slim = classes.select("rep", "k1", "k2", "least", "weight")
+    known = slim.join(n, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    joined = hot_left_join(known.select("k1", "k2", "weight", F.col("n").alias("links"), "component"), least.drop("n"), ["component"], least.select("component", "n"))
+    label = joined.select("k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    linked = hot_left_join(usable_.select("id", "k1", "k2"), label, ["k1", "k2"], slim.select("k1", "k2", F.col("weight").alias("n")))
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.select("id", "n_links", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("id").isNull() & F.col("component_id").isNull()).alias("kept"))

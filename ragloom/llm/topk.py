@@ -1,7 +1,9 @@
 """Operator 8: exact top-k by inner product over norm-sorted vectors.
 
-Candidates are dealt to buckets by descending length. A task meets one bucket with one
-block of queries and goes down the lengths: where ``|q| * |x|`` is below the query's
+Candidates are dealt to buckets by descending length, queries to blocks by the length
+that a candidate must have to be among their best. A candidate goes only to the blocks
+for which it is long enough, so before anything is shuffled most pairs of a bucket and
+a block drop out. A task meets one bucket with one block and goes down the lengths: where ``|q| * |x|`` is below the query's
 k-th best score nothing further can enter; before that, a partial sum over the leading
 dimensions of an SVD rotation plus the Cauchy-Schwarz bound of the rest decides which
 candidates get their exact integer score.
@@ -9,6 +11,7 @@ candidates get their exact integer score.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
@@ -16,12 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.shared import checkpoint, load, small_batches
+from ragloom.llm.shared import checkpoint, first_by_hash, load, small_batches
+
+log = logging.getLogger(__name__)
 
 #: Results of each query.
 K = 10
-#: Candidates in a bucket and queries in a block, about; candidates in a step.
-BUCKET, BLOCK, STEP = 16384, 2048, 1024
+#: Candidates in a bucket and queries in a block, about, and the least that a bucket has where
+#: more tasks would do; candidates in a step.
+BUCKET, BLOCK, LEAST, STEP = 32768, 8192, 2048, 1024
 #: Longest vectors that set each query's first bound, and rows to which the rotation is fitted.
 SEEDS, SAMPLE = 1024, 4096
 #: Leading dimensions of the partial sums.
@@ -103,6 +109,23 @@ def search(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, x_ids: np.ndarra
     return [(int(q_ids[i]), int(v), int(s)) for i, (ids, scores) in enumerate(found) for v, s in zip(ids, scores, strict=True)]
 
 
+def needed(q: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The length below which no vector's product with the query reaches its bound; no need is negative."""
+    length = np.sqrt((q.astype(float) ** 2).sum(1))
+    return np.where(bound <= 0, 0.0, bound / np.maximum(length, 1e-300) * (1 - 1e-9))
+
+
+def lead_buckets(cands: DataFrame, rows: int) -> list[int]:
+    """The first buckets, which have the longest candidates: as many as hold ``rows`` of them."""
+    out, seen = [], 0
+    for r in cands.groupBy("bucket").agg(F.count("*").alias("n")).orderBy("bucket").collect():  # a row a bucket
+        out.append(r["bucket"])
+        seen += r["n"]
+        if seen >= rows:
+            break
+    return out
+
+
 def top_inner_products(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest integer inner products.
 
@@ -111,7 +134,7 @@ def top_inner_products(vectors: DataFrame, is_query: Callable[[Column], Column],
     unequal lengths the shorter vector counts as filled with zeros. Rows that share an
     id are candidates each; as a query their least vector counts, and none of them is a
     candidate of its own id. Fewer candidates than k are all returned; ties go to
-    smaller ids. Extra columns are left out.
+    smaller ids. An empty table gives no rows; extra columns are left out.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -122,30 +145,48 @@ def top_inner_products(vectors: DataFrame, is_query: Callable[[Column], Column],
     dim = max(dim, 1)
     queries = ints.where(is_query(F.col("id"))).groupBy("id").agg(F.min("x").alias("x"))
     n_queries = queries.count()
-    buckets, blocks = max(1, -(-n // BUCKET)), max(1, -(-n_queries // BLOCK))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, blocks = max(1, -(-n // BUCKET), min(tasks, -(-n // LEAST))), max(1, -(-n_queries // BLOCK))
     # The id is part of the order, so a vector that fills a third of the table is dealt to many buckets.
     sorted_ = ints.repartitionByRange(buckets, F.desc("length"), "id") if buckets > 1 else ints.coalesce(1)
     cands = checkpoint(sorted_.withColumn("bucket", F.spark_partition_id()))
+    longest_of = sorted(((r["top"], r["bucket"]) for r in cands.groupBy("bucket").agg(F.max("length").alias("top")).collect()), reverse=True)  # a row a bucket
 
     # Both samples are bounded by a parameter; the results are exact for any rotation and any seeds.
-    sample = cands.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    longest = cands.orderBy(F.desc("length"), "id").limit(SEEDS).toPandas()
+    sample = first_by_hash(cands.groupBy("id").agg(F.max("x").alias("x")), "id", SAMPLE).toPandas()
+    longest = cands.where(F.col("bucket").isin(lead_buckets(cands, SEEDS))).orderBy(F.desc("length"), "id").limit(SEEDS).toPandas()
     turn = spark.sparkContext.broadcast(np.linalg.svd(stack(sample["x"], dim).astype(float).T @ stack(sample["x"], dim).astype(float))[0])
     seeds = spark.sparkContext.broadcast((longest["id"].to_numpy(np.int64), stack(longest["x"], dim)))
 
     def first_bounds(parts):
         ids, x = seeds.value
         for rows in parts:
-            scores = products(stack(rows["x"], dim), x)
+            own = stack(rows["x"], dim)
             out = []
-            for q, s in zip(rows["id"], scores, strict=True):
+            for q, s in zip(rows["id"], products(own, x), strict=True):
                 s = s[ids != q]
                 out.append(int(np.partition(s, -k)[-k]) if len(s) >= k else -(2**63))
-            yield rows.assign(bound=np.array(out, np.int64))
-
-    asked = queries.mapInPandas(first_bounds, "id long, x array<long>, bound long").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = checkpoint(asked).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    met = cands.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            yield rows.assign(bound=np.array(out, np.int64), need=needed(own, np.array(out, float)))
+
+    bounded = checkpoint(queries.mapInPandas(first_bounds, "id long, x array<long>, bound long, need double"))
+    dealt = bounded.repartitionByRange(blocks, "need", "id") if blocks > 1 else bounded.coalesce(1)
+    asked = checkpoint(dealt.withColumn("block", F.spark_partition_id()))
+    # The least need of each block, ascending, and of each need the buckets that hold candidates as long.
+    needs = sorted((r["need"], r["block"]) for r in asked.groupBy("block").agg(F.min("need").alias("need")).collect())  # a row a block
+    met_by = spark.sparkContext.broadcast((np.array([x for x, _ in needs]), np.array([b for _, b in needs], np.int64)))
+    # Buckets lie in the order of their lengths, so a block meets those up to a last one.
+    reach = [(b, max((own for top, own in longest_of if top**0.5 * (1 + 1e-9) >= need), default=-1)) for need, b in needs]
+    log.info("%d of %d pairs of a block and a bucket meet", sum(last + 1 for _, last in reach), len(needs) * len(longest_of))
+    last = F.broadcast(spark.createDataFrame(reach, "block int, last int"))  # a row a block
+    asked = asked.join(last, "block").where("last >= 0").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+
+    @F.pandas_udf("array<int>")
+    def blocks_of(length: pd.Series) -> pd.Series:
+        least, own = met_by.value
+        ends = np.searchsorted(least, np.sqrt(length.to_numpy()) * (1 + 1e-9), "right")
+        return pd.Series([own[:end].tolist() for end in ends])
+
+    met = cands.withColumn("block", F.explode(blocks_of("length")))
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

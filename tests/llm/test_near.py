@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ragloom.llm import neighbours, simhash
+from ragloom.llm import copies, neighbours, simhash, topk
 from ragloom.llm.components import connected_components
 from ragloom.llm.neighbours import embedding_components
 from ragloom.llm.topk import products, search, top_inner_products
@@ -47,7 +47,12 @@ def test_fingerprint_is_the_bit_majority():
     assert simhash.fingerprint(text) == want
     assert simhash.fingerprint("Two Words") == xxhash.xxh64_intdigest("two words", 42)
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
-    assert simhash.fingerprint("a b c " * 40000) == simhash.fingerprint("a b c " * 40000)
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(300)}" for _ in range(150_000)]
+    sums = np.zeros(64, np.int64)
+    for x in zip(long, long[1:], long[2:], strict=False):
+        sums += np.uint64(xxhash.xxh64_intdigest(" ".join(x), 42)) >> np.arange(64, dtype=np.uint64) & np.uint64(1) != 0
+    assert simhash.fingerprint(" ".join(long)) == sum(1 << b for b in range(64) if 2 * sums[b] > len(long) - 2)
 
 
 def near_prints(n: int, rng) -> np.ndarray:
@@ -67,7 +72,7 @@ def test_trie_join_finds_all_pairs():
 
 def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 8)
-    monkeypatch.setattr(simhash.groups, "__defaults__", (8,))
+    monkeypatch.setattr(simhash.groups, "__defaults__", (16,))
     bits = near_prints(400, random.Random(9))
     rows = spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "bits long")
     links = [(r["a"], r["b"]) for r in simhash.links(rows).collect()]
@@ -78,7 +83,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch):
 
 
 def test_links_of_a_wider_budget(spark, monkeypatch):
-    monkeypatch.setattr(simhash.groups, "__defaults__", (8,))
+    monkeypatch.setattr(simhash.groups, "__defaults__", (16,))
     rng = random.Random(12)
     base = [rng.getrandbits(64) for _ in range(60)]
     spread = sum(1 << k for k in (2, 20, 40, 60))  # a bit in each of three blocks, and one more
@@ -172,3 +177,70 @@ def test_huge_products_stay_in_range():
     big = np.array([[2**62, 2**62]], dtype=np.int64)
     assert products(big, big)[0, 0] == 2**63 - 1 and products(big, -big)[0, 0] == -(2**63)
     assert search(np.array([1]), np.array([[3]]), np.array([-(2**63)]), np.array([1, 2]), np.array([[1], [2]]), np.eye(1)) == [(1, 2, 6)]
+
+
+def test_skewed_lengths_part_most_pairs(spark, monkeypatch, caplog):
+    monkeypatch.setattr(topk, "BUCKET", 100)
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(2000, 8)) * np.exp(rng.normal(size=(2000, 1)) * 2)
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", logger="ragloom.llm.topk"):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_inner_products(vectors, lambda i: i % 20 == 0).collect())
+    ints = np.floor(x * 1024).astype(int)
+    want = []
+    for q in range(0, 2000, 20):
+        scores, rest = ints @ ints[q], np.arange(2000) != q
+        order = np.lexsort((np.arange(2000)[rest], -scores[rest]))[:10]
+        want += [(q, k + 1, int(np.arange(2000)[rest][o]), int(scores[rest][o])) for k, o in enumerate(order)]
+    assert got == sorted(want)
+    met, of = (int(w) for w in caplog.messages[-1].split()[:3:2])
+    assert of >= 150 and met < of / 3
+
+
+def test_repeated_ids_of_queries_and_candidates(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.5, 0.0]), (3, [2.0, 0.0]), (3, [1.0, 1.0]), (3, [2.0, 0.0])]
+    got = top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 3, 512 * 2048), (2, 3, 512 * 2048), (3, 3, 512 * 1024)]
+
+
+def test_embeddings_without_and_with_the_same_id(spark):
+    e = np.eye(6)
+    near = lambda k, j: [float(v) for v in e[k] + 0.01 * e[j]]
+    rows = [(None, near(0, 1)), (None, near(0, 2)), (4, near(1, 2)), (4, near(1, 3)), (4, near(2, 3)), (9, near(2, 4)), (None, near(2, 5)), (7, near(3, 4)), (7, near(3, 4))]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(0, 1, 0, True), (0, 1, 0, True), (4, 1, 4, True), (4, 1, 4, True), (4, 2, 4, True), (9, 2, 4, False), (0, 2, 4, False), (7, 1, 7, True), (7, 1, 7, True)])
+
+
+def test_hubs_are_split(spark):
+    links = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 530)] + [(399, 530)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(links, hub=50).collect()}
+    assert got == {i: 0 for i in [*range(400), *range(500, 531)]}
+
+
+def test_groups_refuse_a_limit_that_loses_links(spark):
+    with pytest.raises(ValueError, match="differ"):
+        simhash.groups(spark.createDataFrame([(1,)], "bits long"), 3)
+    assert [bin(m).count("1") for m in simhash.cut_free(0b1111, 3)] == [1, 1, 2]
+
+
+def test_large_groups_of_near_copies_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BLOCK", 4)
+    monkeypatch.setattr(copies.in_blocks, "__defaults__", (4,))
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for k in rng.sample(range(150), rng.randrange(6)):
+            own[k] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    pairs = [(i, j) for i in range(40) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    got = {r["node"]: r["component"] for r in copies.copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    keys = [copies.key_of(copies.words_of(t)) for _, t in rows]
+    want, seen = components_of(40, pairs), {}
+    assert len(set(want)) > 1 or len(pairs) > 100
+    for k, c in zip(keys, want, strict=True):
+        assert seen.setdefault(c, got.get(k, k)) == got.get(k, k)
+    assert len(set(seen.values())) == len({keys[i] for i in range(40) if want[i] == i})

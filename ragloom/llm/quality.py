@@ -13,16 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.bpe import Recent
-from ragloom.llm.shared import append_columns, load, small_batches
+from ragloom.llm.shared import append_columns, first_by_hash, load, small_batches
 
 #: Weights of hashed word n-grams, a power of two; after them come those of shape n-grams.
 BUCKETS = 1 << 18
-#: Labelled rows that training takes at most: the first in the order of a hash of the id.
-TRAIN_ROWS = 8000
+#: Labelled rows that training takes at most, the first in the order of a hash of the id, and
+#: the characters that their texts may have together (a text that would go beyond is left out).
+TRAIN_ROWS, TRAIN_CHARS = 8000, 1 << 27
 #: Passes over them, and FTRL's learning rate, its offset, and L1 and L2 strengths.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.1
 #: A document is kept from this score on.
@@ -123,16 +124,23 @@ def fold(id_col: str, folds: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text, label`` of at most ``rows`` labelled documents that aren't in fold ``held``.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = TRAIN_CHARS) -> DataFrame:
+    """``_id, text, label`` of at most ``rows`` labelled documents that aren't in fold ``held``.
 
     They are the first in the order of a hash of the id. Null labels and ids drop out;
-    of contradictory labels of one id the larger counts.
+    of contradictory labels of one id the larger counts; of several texts of one id the
+    one of the smallest hash, so that an id is a row however often it is repeated. Rows
+    whose texts, in that order, go beyond ``chars`` characters in all are left out.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
-    own = own.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    own = first_by_hash(own.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label")), "_id", rows)
     own = F.broadcast(own)  # ``rows`` of them at most
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(own, "_id").select("_id", "text", F.col("_label").alias("label"))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(own, "_id")
+    order = F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))
+    once = found.groupBy("_id").agg(F.min_by("text", order).alias("text"), F.max("_label").alias("label"))
+    before = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)  # over ``rows`` rows at most
+    sized = once.withColumn("_chars", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(before))
+    return sized.where(F.col("_chars") <= chars).select("_id", "text", "label")
 
 
 def learn_weights(sample: DataFrame) -> np.ndarray:
@@ -165,8 +173,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """``id, held_out, score, predicted`` of every whole document.
 
     Learns from at most ``train_rows`` labelled documents of the other folds. A null or
-    empty text gets the bias's score; a null id is scored, in fold 0; repeated rows each
-    give a row; with no labelled row all scores are 0.5. Extra columns are left out.
+    empty text gets the bias's score; very long texts are read whole; a null id is
+    scored, in fold 0; repeated rows each give a row; with no labelled row all scores
+    are 0.5; an empty table gives no rows. Extra columns are left out.
     """
     scored = with_quality(docs.select(id_col, text_col), labels, "score", id_col, text_col, label, held, folds, train_rows)
     return scored.select(id_col, (fold(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

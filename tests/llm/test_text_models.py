@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.llm import chat, toxicity, urls
+from ragloom.llm import chat, quality, toxicity, urls
 from ragloom.llm.queries import ORACLE_SQL, QUERIES
 from ragloom.llm.quality import score_quality
 from ragloom.llm.toxicity import Grammar, score_toxicity
@@ -57,17 +59,109 @@ def test_held_out_accuracy(tables, operator, label, held, folds):
     assert len(operator(docs.limit(5), labels.limit(0)).collect()) == 5
 
 
-def test_grammar_marks_clauses():
-    g = Grammar(dict.fromkeys(("grob*", "idiot", "moron"), toxicity.INSULT))
-    marks = lambda text: [[g.outputs[k] for k in own] for own in g.clauses(text)]
-    assert marks("You are an idiot.") == [[(toxicity.INSULT, "t")]]
-    assert marks("He is not an idiot. Idiot!") == [[(toxicity.INSULT, "nt")], [(toxicity.INSULT, "")]]
-    assert marks("They said: grobian") == [[(toxicity.INSULT, "")]]
-    assert marks("Someone called me a moron, really") == [[(toxicity.INSULT, "r")]]
-    assert marks('"I will kill you" is a line') == [[(toxicity.THREAT, "r")]]
-    assert marks("Nothing here. 123") == [] and marks(None) == []
-    w = dict(zip(g.outputs, toxicity.prior_weights(g.outputs), strict=False))
-    assert w[toxicity.INSULT, "t"] > w[toxicity.INSULT, ""] > w[toxicity.INSULT, "r"] > w[toxicity.INSULT, "rn"]
+IDIOTS = {"grob*": toxicity.INSULT, "idiot": toxicity.INSULT, "moron": toxicity.INSULT, "silly": toxicity.SLUR}
+
+
+def test_grammar_scores_clauses():
+    g = Grammar(IDIOTS)
+    found = lambda text: [toxicity.OUTPUTS[k] for k in g.clauses(text)]
+    assert found("You are an idiot.") == [("insult", "t")]
+    assert found("He is not an idiot. Idiot!") == [("insult", "tn"), ("insult", "")]
+    assert found("Such an idiot, you know") == [("insult", "t")]
+    assert found("Silly idiot, moron. They said: grobian") == [("insults", ""), ("insult", "")]
+    assert found("Someone called me a moron, really") == [("insult", "r")]
+    assert found("I will kill you. Ich werde dich töten! Kill them") == [("threat", "t"), ("threat", "t"), ("command", "t")]
+    assert found("I will not hurt you") == [("threat", "tn")]
+    assert found('"I will kill you" is a line') == [("threat", "tr")]
+    assert found("They kill time. We will see you. 123") == [] and found(None) == found("") == []
+    w = dict(zip(toxicity.OUTPUTS, toxicity.prior_weights(), strict=False))
+    assert w["insult", "t"] > w["insult", ""] > w["insult", "r"] > w["insult", "nr"]
+    # Clauses score, not words: many negated insults stay below one that isn't.
+    score = lambda text: toxicity.score(toxicity.prior_weights(), g.features(text))
+    assert score("Not an idiot. " * 3) < score("An idiot.") < toxicity.THRESHOLD <= score("You are an idiot.")
+    assert score("They kill time and destroy things. " * 50) == score("")
+
+
+def test_composed_automaton_equals_a_walk_of_its_transducers():
+    rng = random.Random(4)
+    words = {toxicity.OTHER: "thing", toxicity.INSULT: "idiot", toxicity.SLUR: "silly", toxicity.VIOLENT: "kill", toxicity.SPEAKER: "we", toxicity.MODAL: "will", toxicity.TARGET: "you", toxicity.NEGATOR: "not", toxicity.SPEECH: "said", toxicity.QUOTE: '"', toxicity.END: "."}
+    g, parts = Grammar(IDIOTS), [make() for make in toxicity.CASCADE]
+    weights = toxicity.prior_weights()
+    matched = 0
+    for _ in range(1500):
+        read = rng.choices(range(11), k=rng.randint(1, 25))
+        states, want, own = [p.start for p in parts], [], []
+        for symbol in read:
+            cell = (symbol, "", "")
+            for i, part in enumerate(parts):
+                states[i], cell = part.step(states[i], cell)
+            if cell[1]:
+                own.append(toxicity.OUTPUTS.index(cell[1:]))
+            if symbol == toxicity.END:
+                want, own = [*want, *([max(own, key=lambda k: weights[k])] if own else [])], []
+        want += [max(own, key=lambda k: weights[k])] if own else []
+        assert [weights[k] for k in g.clauses(" ".join(words[x] for x in read))] == [weights[k] for k in want]
+        matched += len(want)
+    assert matched > 1000
+
+
+@pytest.mark.parametrize(("left_out", "text"), [(toxicity.negation, "You are not an idiot."), (toxicity.reported, "She said you are an idiot."), (toxicity.target, "You are an idiot."), (toxicity.insult, "You are an idiot."), (toxicity.threat, "We will kill them.")])
+def test_each_transducer_decides(left_out, text):
+    predicted = lambda g: toxicity.score(toxicity.prior_weights(), g.features(text)) >= toxicity.THRESHOLD
+    whole, part = Grammar(IDIOTS), Grammar(IDIOTS, [make for make in toxicity.CASCADE if make is not left_out])
+    assert predicted(whole) != predicted(part)
+
+
+def test_training_rows_are_bounded_and_one_an_id(spark):
+    docs, labels = corpus(120)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seven = table
+    for _ in range(6):
+        seven = seven.union(table)
+    rows = lambda t, most, **k: sorted(tuple(r) for r in quality.training_rows(t, marks, "toxic", 2, 4, most, **k).collect())
+    assert rows(seven, 40) == rows(table, 40) and len(rows(seven, 40)) == 40
+    assert np.array_equal(quality.learn_weights(quality.training_rows(seven, marks, "quality", 0, 5, 50)), quality.learn_weights(quality.training_rows(table, marks, "quality", 0, 5, 50)))
+    few = rows(seven, 40, chars=3000)
+    assert set(few) < set(rows(seven, 40)) and 2000 < sum(len(t or "") for _, t, _ in few) <= 3000
+    assert rows(table.limit(0), 40) == []
+
+
+def test_ftrl_equals_a_dense_restatement():
+    texts = ["good calm words here", "bad bad bad bad", "calm words, again here", "noise noise noise 99", None, "good words"]
+    labels = [1, 0, 1, 0, 0, 1]
+    size = quality.BUCKETS + quality.SHAPES**3
+    f = quality.Features()
+    rows = []
+    for t in texts:
+        at = f(t)
+        x = np.zeros(size + 1)
+        for i in at:
+            x[i] += 8.0 / len(at)
+        x[size] = 1.0
+        rows.append(x)
+    used = np.flatnonzero(np.any(rows, axis=0))
+    z, n = dict.fromkeys(used.tolist(), 0.0), dict.fromkeys(used.tolist(), 0.0)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(quality.EPOCHS):
+        for r in order.permutation(len(rows)):
+            w = {i: weight(i) for i in z}
+            p = 1 / (1 + math.exp(-sum(w[i] * rows[r][i] for i in z)))
+            for i in z:
+                if rows[r][i]:
+                    g = (p - labels[r]) * rows[r][i]
+                    sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                    z[i] += g - sigma * w[i]
+                    n[i] += g * g
+    got = quality.train(texts, labels)
+    assert np.allclose(got[used], [weight(i) for i in used.tolist()], atol=1e-6) and np.count_nonzero(got) == sum(weight(i) != 0 for i in used.tolist())
+    assert quality.score(f, got, texts[0]) == pytest.approx(1 / (1 + math.exp(-sum(weight(i) * rows[0][i] for i in used.tolist()))), abs=1e-5)
 
 
 def test_chat_reads_back(spark):
@@ -151,6 +245,33 @@ def test_similar_branches_are_merged_at_every_level(spark):
     assert (got[200]["verdict"], got[300]["verdict"]) == ("block", "allow") and got[200]["purity"] == round((20 + 4 * prior) / 24, 6)
 
 
+def test_templates_equal_sql_on_random_trees(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(30)
+    hosts = ["a.test", "b.test", "shop.example.com", "x.net"]
+    rows, labels = [], []
+    for i in range(1500):
+        parts = [rng.choice(["en", "fr", "de", "es", f"s{rng.randrange(60)}" if rng.random() < 0.3 else chr(97 + rng.randrange(26)) * rng.randint(1, 3)]) for _ in range(rng.randint(0, 4))]
+        host = rng.choice(hosts)
+        rows.append((i, f"https://{host}/{'/'.join(parts)}{rng.choice(['', '/', '?q=1', '#x'])}"))
+        if rng.random() < 0.6:
+            labels.append((i, int(rng.random() > (0.7 if parts[:1] == ["fr"] and host == "a.test" else 0.1))))
+    rows += [(None, "https://a.test/en/7"), (7, "https://A.test/fr/x"), (7, "https://A.test/fr/x"), (2000, None), (2001, "https://x.net/de/" + "long" * 5000)]
+    labels += [(None, 0), (3, None), (3, 0), (3, 1)]
+    c = duckdb.connect()
+    c.register("pages", pd.DataFrame(rows, columns=["page_id", "url"]).astype({"page_id": "Int64"}))
+    c.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality"]).astype({"doc_id": "Int64", "quality": "Int64"}))
+    want = c.execute(f"SELECT page_id, host, path, rule, verdict, template, purity FROM ({urls.oracle_sql()})").fetchall()
+    marks = spark.createDataFrame(labels, "id long, quality int").select("id", (1 - F.col("quality")).alias("bad"))
+    got = [tuple(r) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), marks).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:3])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == len(rows)
+    by_method = [r for r in got if r[3] is None]
+    assert 0 < sum(r[4] == "block" for r in by_method) < len(by_method) / 3
+
+
 def test_pipeline_stages(spark, tables, tmp_path):
     import corpus_pipeline
 

@@ -16,15 +16,17 @@ from ragloom.llm.token_counts import op4_token_counts
 from ragloom.llm.topk import op8_topk
 from ragloom.llm.toxicity import op1_toxicity
 from ragloom.llm.urls import op10_urls
+from ragloom.llm.urls import oracle_sql as urls_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_bpe, op3_packing, op4_token_counts, op5_neighbours, op6_simhash, op7_chat, op8_topk, op9_quality, op10_urls)
 }
 
-#: Exact inner products are SQL. The others are tested against brute force, round trips
-#: or held-out accuracy: merges by rank, trie scores, packing, graph search, SimHash
-#: components, templates and trained models aren't SQL.
+#: Exact inner products and the template tree are SQL. The others are tested against brute
+#: force, round trips or held-out accuracy: merges by rank, trie scores, packing, graph
+#: search, SimHash components and trained models aren't SQL.
 ORACLE_SQL: dict[str, str] = {
+    "op10_urls": urls_sql(),
     "op8_topk": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x

@@ -204,8 +204,9 @@ def digest_chunks(path: str) -> tuple[BytePairCodec, Chunks]:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Ids and round-trip text of every document: ``id, ids array<int>, decoded string``.
 
-    A null text counts as empty (no ids, empty text); a null id stays null; equal rows
-    each give a row; other columns are left out, whatever their names.
+    A null text counts as empty (no ids, empty text); a very long one is encoded whole,
+    pre-token by pre-token; a null id stays null; equal rows each give a row; an empty
+    table gives no rows; other columns are left out, whatever their names.
     """
     small_batches(docs.sparkSession)
 
@@ -224,8 +225,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """``encode_documents`` as digests, so that no ids leave the Python worker.
 
-    Returns ``id, n_tokens, ids_sha256, decoded_sha256``; nulls and repeated rows as in
-    ``encode_documents``.
+    Returns ``id, n_tokens, ids_sha256, decoded_sha256``; nulls, long texts, repeated
+    rows and empty tables as in ``encode_documents``.
     """
     small_batches(docs.sparkSession)
 

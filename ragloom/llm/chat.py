@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.bpe import Chunks, codec
-from ragloom.llm.shared import load, public_path, small_batches
+from ragloom.llm.shared import append_columns, load, public_path, small_batches
 
 #: Tokens of a window's turns, and of the history that it repeats at most.
 BUDGET, HISTORY = 1024, 256
@@ -135,24 +135,31 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     their own. A turn larger than the budget stands whole in a window of its own.
     ``repeated`` turns at a window's start come from earlier windows. A conversation's
     windows stay together, in order, in one partition; they are made turn by turn, so
-    its length doesn't matter for memory. Extra columns are left out.
+    its length doesn't matter for memory. Tokens are counted before turns are dealt, by
+    all tasks alike, so a long conversation's task formats but doesn't tokenise. An
+    empty table gives no rows. Extra columns are left out.
     """
     small_batches(turns.sparkSession)
     own = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def make():
+        count = token_counter(public_path(vocabulary))
+        return lambda texts: [pa.array([sum(count(v.as_py())) for v in texts], pa.int64())]
+
+    counted = append_columns(own, "text", make, "tokens long")
+    dealt = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = turns.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(public_path(vocabulary))
         schema = None
         now, windows, rows = None, None, []
         for batch in batches:
             schema = pa.schema([("conv_id", batch.schema.field(0).type), ("window", pa.int64()), ("repeated", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("tokens", pa.int64())])
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for conv, role, text, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if windows is None or conv != now:
                     rows += [{"conv_id": now} | w._asdict() for w in (windows.end() if windows else ())]
                     now, windows = conv, Windows(budget, history)
-                rows += [{"conv_id": now} | w._asdict() for w in windows.add(Turn(role, text, sum(count(text))))]
+                rows += [{"conv_id": now} | w._asdict() for w in windows.add(Turn(role, text, tokens))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
             rows = []
         if windows:
@@ -165,7 +172,8 @@ def read_back(windows: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from its windows; see ``format_conversations``.
 
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows``.
-    Reads the windows where and in the order in which they were made.
+    Reads the windows where and in the order in which they were made. A conversation of
+    empty turns has zero characters; no windows give no rows.
     """
     kind = windows.schema["conv_id"].dataType.simpleString()
 

@@ -43,11 +43,11 @@ def id_bytes(vocabulary: str, ranks: str) -> Chunks:
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    merge = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
+    merge = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
     own = codec(vocabulary)
 
     def make(text: str) -> bytes:
-        return array("I", [i for part, special in own.parts(text) for w in part for i in ((own.added[w],) if special else merge(w.encode("utf-8", "replace")))]).tobytes()
+        return array("I", [i for part, special in own.parts(text) for w in part for i in ((own.added[w],) if special else merge(w))]).tobytes()
 
     return Chunks(own, make)
 
@@ -150,8 +150,9 @@ def pack_documents(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """Where every piece of every document lies.
 
     Returns ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A null
-    or empty text has one id, the end; a null id stays null; repeated rows are packed
-    each on their own; an empty table gives no rows. Extra columns are left out.
+    or empty text has one id, the end; a very long one is cut wherever it fills a
+    sequence; a null id stays null; repeated rows are packed each on their own; an empty
+    table gives no rows. Extra columns are left out.
     """
     spark = docs.sparkSession
     pieces = checkpoint(cut_documents(docs, width, id_col, text_col, vocabulary, ranks))

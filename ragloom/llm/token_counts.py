@@ -3,35 +3,37 @@
 Distinct pre-tokens go into a trie. Each node holds the forward score of its
 prefix: the best log probability of a split of it into vocabulary strings. A
 prefix that many pre-tokens share is scored once; a node where a pre-token ends
-keeps that pre-token's token count and score.
+keeps that pre-token's token count and score. The strings' log probabilities are fitted
+to the corpus: how often each occurs in it, summed over all documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm.bpe import Chunks, Recent, codec
+from ragloom.llm.bpe import BETWEEN, Chunks, Recent, codec
 from ragloom.llm.shared import load, public_path, small_batches
 
-#: Nodes after which a worker starts a new trie; bounds its memory, not its results.
-MAX_NODES = 500_000
+#: Nodes after which a worker starts a new trie, and chunks after which it adds up what it has
+#: counted; they bound its memory, not its results.
+MAX_NODES, MAX_CHUNKS = 500_000, 200_000
 
 
 class UnigramTrie:
     """Forward scores over shared prefixes of pre-tokens.
 
-    The vocabulary's published order is by frequency, so id ``i`` has Zipf's weight:
-    its log probability is ``-log(i + 2)``, less a constant. Of splits with equal
-    scores the one with fewer tokens counts.
+    ``weights`` has the log probability of every id. Of splits with equal scores the one
+    with fewer tokens counts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, weights: Sequence[float]):
         own = codec(path)
         added = set(own.added.values())
         self.codec = own
@@ -42,7 +44,7 @@ class UnigramTrie:
             at = self.suffixes
             for b in reversed(token):
                 at = at.setdefault(b, {})
-            at[-1] = -math.log(i + 2)
+            at[-1] = float(weights[i])
         self.clear()
         self.ends = Recent(self.insert)  # terminal counts
         self.chunks = Chunks(own, self.totals)
@@ -97,22 +99,67 @@ class UnigramTrie:
         return sum(words), sum(tokens), math.fsum(scores)
 
 
-@lru_cache(maxsize=2)
-def unigram_trie(path: str) -> UnigramTrie:
-    """One trie for each file and Python worker."""
-    return UnigramTrie(path)
+def count_ids(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """``token, n``: how often each id occurs in the byte-pair encoding of all texts.
 
+    A task counts space-separated chunks and encodes each different one once; it gives a
+    row for each id, so at most the vocabulary is shuffled from it.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(public_path(vocabulary))
+        total, seen = np.zeros(len(own.strings), np.int64), Counter()
+
+        def add() -> None:
+            for chunk, n in seen.items():
+                for i in own.ids(chunk):
+                    total[i] += n
+            seen.clear()
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+        for batch in batches:
+            for v in batch.column(0):
+                text = v.as_py() or ""
+                # As ``Chunks`` cuts them.
+                if BETWEEN.search(text) or any(name in text for name in own.added):
+                    seen[text] += 1
+                else:
+                    first, *rest = text.split(" ")
+                    seen[first] += 1
+                    seen.update([" " + c for c in rest])
+                if len(seen) > MAX_CHUNKS:
+                    add()
+        add()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "token long, n long")
+    return found.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def fit_weights(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> np.ndarray:
+    """Log probabilities of all ids, each counted once more than it occurs; added tokens have none."""
+    own = codec(public_path(vocabulary))
+    counts = np.array([1 if token else 0 for token in own.strings], np.int64)
+    for r in count_ids(docs, text_col, vocabulary).collect():  # a row an id of the vocabulary
+        counts[r["token"]] += r["n"]
+    counts[list(own.added.values())] = 0
+    return np.log(np.maximum(counts, 1) / max(1, counts.sum()))
+
+
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", weights: Sequence[float] | None = None) -> DataFrame:
     """Token counts of every whole document: ``id, n_pretokens, n_tokens, log_score``.
 
-    ``log_score`` is rounded to 4 places. A null text counts as empty: zeros; a null id
-    stays null; repeated rows each give a row; extra columns are left out.
+    ``weights``: the log probability of each id, fitted to ``docs`` where none are given.
+    ``log_score`` is rounded to 4 places. A null text counts as empty: zeros; very long
+    texts are read whole, chunk by chunk; a null id stays null; repeated rows each give
+    a row; an empty table gives no rows; extra columns are left out.
     """
     small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(np.asarray(fit_weights(docs, text_col, vocabulary) if weights is None else weights, float))  # the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = unigram_trie(public_path(vocabulary))
+        trie = UnigramTrie(public_path(vocabulary), known.value)
         for batch in batches:
             rows = [trie.count(v.as_py() or "") for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([round(r[2], 4) + 0.0 for r in rows], pa.float64())], names=[id_col, "n_pretokens", "n_tokens", "log_score"])

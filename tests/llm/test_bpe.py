@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 from ragloom.llm.bpe import Chunks, codec, digest_documents, encode_documents
 from ragloom.llm.packing import intervals, pack_documents, pack_histogram
 from ragloom.llm.shared import public_path
-from ragloom.llm.token_counts import count_tokens, unigram_trie
+from ragloom.llm import token_counts
+from ragloom.llm.token_counts import UnigramTrie, count_tokens, fit_weights
 
 PATH = public_path("byte_bpe_50k.json")
 ODD = [chr(i) for i in (0, 9, 10, 13, 28, 31, 0x85, 0xA0, 0x1680, 0x2028, 0x3000, 0xFEFF, 0x301, 0x660, 0x2160, 0xB2, 0x1F600)] + ["<|endoftext|>", "'re", " ", " ", "  ", "\n", "a", "B", "7", "é", "漢", ".", "_", "word", "words", "the", "don't"]
@@ -105,16 +106,56 @@ def brute(word: bytes, scores: dict[bytes, float]) -> tuple[float, int]:
     return best[-1]
 
 
+def test_histogram_equals_shortest_pack_first_piece_by_piece():
+    rng = random.Random(3)
+    for width, top, n in ((64, 64, 400), (64, 20, 500), (100, 60, 300), (16, 16, 200), (32, 5, 99)):
+        lengths = [rng.randint(1, top) for _ in range(n)]
+        fills = []
+        for length in sorted(lengths, reverse=True):
+            open_ = [i for i, fill in enumerate(fills) if fill + length <= width]
+            if open_:
+                fills[min(open_, key=lambda i: fills[i])] += length
+            else:
+                fills.append(length)
+        patterns = pack_histogram({x: lengths.count(x) for x in set(lengths)}, width)
+        assert sorted(sum(p) for p, n in patterns for _ in range(n)) == sorted(fills)
+
+
 def test_trie_scores_equal_brute_force(spark, library):
-    trie = unigram_trie(PATH)
-    scores = {s: -np.log(i + 2) for i, s in enumerate(codec(PATH).strings) if s and i != 50256}
+    docs = documents(spark)
+    weights = fit_weights(docs)
+    own = codec(PATH)
+    counts = np.array([1 if s else 0 for s in own.strings])
+    for _, t in ROWS:
+        for i in library.encode(t or "", add_special_tokens=False).ids:
+            counts[i] += i != 50256
+    counts[50256] = 0
+    assert np.allclose(weights, np.log(np.maximum(counts, 1) / counts.sum()))
+    trie = UnigramTrie(PATH, weights)
+    scores = {s: weights[i] for i, s in enumerate(own.strings) if s and i != 50256}
     words = [" the", "ing", " straßenbahn", "漢字", "x" * 40, " antidisestablishment"]
     for w in words:
         tokens, score = trie.insert(w)
         want = brute(w.encode(), scores)
         assert (tokens, round(score, 6)) == (-want[1], round(want[0], 6))
-    rows = {r["doc_id"]: r for r in count_tokens(documents(spark)).collect()}
-    assert rows[2]["n_tokens"] == rows[3]["n_tokens"] == 0 and rows[2]["log_score"] == 0
-    pre = [w for part, special in codec(PATH).parts(ROWS[0][1]) if not special for w in part]
-    assert rows[1]["n_tokens"] == 1 + sum(-brute(w.encode(), scores)[1] for w in pre)
+    rows = sorted((r["doc_id"] or -1, r["n_pretokens"], r["n_tokens"], r["log_score"]) for r in count_tokens(docs).collect())
+    want = []
+    for i, t in ROWS:
+        words, tokens, score = 0, 0, 0.0
+        for part, special in own.parts(t or ""):
+            for w in part:
+                s, k = (0.0, -1) if special else brute(w.encode(), scores)
+                words, tokens, score = words + 1, tokens - k, score + s
+        want.append((i or -1, words, tokens, pytest.approx(score, abs=2e-4)))
+    assert rows == sorted(want, key=lambda r: r[:3])
     assert count_tokens(documents(spark, [])).collect() == []
+
+
+def test_a_crowded_trie_starts_anew(spark, monkeypatch):
+    weights = fit_weights(documents(spark))
+    whole = UnigramTrie(PATH, weights)
+    text = " ".join(f"word{i * 7919} {i}x" for i in range(400))
+    want = whole.count(text)
+    monkeypatch.setattr(token_counts, "MAX_NODES", 50)
+    small = UnigramTrie(PATH, weights)
+    assert small.count(text) == want and len(small.parent) < 200 < len(whole.parent)

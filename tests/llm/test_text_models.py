@@ -292,31 +292,6 @@ def test_pipeline_stages(spark, tables, tmp_path):
     assert stages["packing"](spark, now.limit(0), str(tmp_path)).count() == 0
 
 
-def test_near_duplicate_stage_equals_brute_force(spark, tmp_path):
-    import corpus_pipeline
-    from ragloom.llm.simhash import fingerprint
-
-    rng = random.Random(6)
-    rows = []
-    for i in range(40):
-        words = [f"w{rng.randrange(500)}" for _ in range(300)]
-        rows += [(3 * i, " ".join(words), "a"), (3 * i + 1, " ".join(words).upper(), "b"), (3 * i + 2, " ".join([*words[:-1], "end"]), "a")]
-    rows += [(900, None, None), (901, "", "a"), (7, rows[7][1], "a"), (None, rows[0][1], "a"), (None, "an own text", "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    prints = [fingerprint(t) for _, t, _ in rows]
-    label = list(range(len(rows)))
-    for _ in rows:  # the smallest place that links lead to
-        label = [min(label[j] for j in range(len(rows)) if (prints[i] ^ prints[j]).bit_count() <= 2) for i in range(len(rows))]
-    least = {}
-    for (key, _, _), c in zip(rows, label, strict=True):
-        least[c] = min((x for x in (least.get(c), key) if x is not None), default=None)
-    want = [r for r, c in zip(rows, label, strict=True) if r[0] == least[c]]
-    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
-    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
-    assert sorted(got, key=order) == sorted(want, key=order) and len(got) < len(rows)
-    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).collect() == []
-
-
 def test_pipeline_drops_planted_near_copies(spark, tmp_path):
     import corpus_pipeline
     from ragloom.llm.simhash import fingerprint

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.lexicon import DEFAULT, Lexicon
@@ -156,9 +156,20 @@ def score_bar(total: Column, most: int, width: int = 10) -> Column:
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), width - filled))
 
 
-def context_block(rank: Column, document: Column, chunk: Column, score: Column, terms: Column, text: Column) -> Column:
+def context_block(rank: Column, document: Column, chunk: Column, title: Column, score: Column, terms: Column, text: Column) -> Column:
     """One retrieved chunk as text for an answer."""
-    return F.concat(F.format_string("[%d] ", rank.cast("int")), F.lit("document: "), document, F.lit(" | chunk: "), chunk, F.lit(" | score: "), F.format_string("%.6f", score), F.lit(" | terms: "), F.array_join(terms, ", "), F.lit("\n"), text)
+    lines = {"document_id": document, "chunk_id": chunk, "title": F.coalesce(title, F.lit("")), "retrieval_score": F.format_string("%.6f", F.coalesce(score, F.lit(0.0))), "matched_terms": F.array_join(terms, ", "), "text": text}
+    return F.concat_ws("\n", F.format_string("[Chunk %d]", rank.cast("int")), *[F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()])
+
+
+def context(rows: DataFrame, order: list) -> DataFrame:
+    """``context``: all blocks of retrieved rows (``document_id, chunk_id, title, score, matched_terms, text``), in their order.
+
+    For what a question retrieves, a few rows: they come to one task.
+    """
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    blocks = ranked.select("_rank", context_block(F.col("_rank"), F.col("document_id"), F.col("chunk_id"), F.col("title"), F.col("score"), F.col("matched_terms"), F.col("text")).alias("block"))
+    return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
 
 
 def point_label(text: Column, length: int = 120) -> Column:

@@ -126,13 +126,22 @@ def subgraph_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_semi")
 
 
+def first_evidence(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``chunk_id, episode, description`` of rows with the three lists, in the order given.
+
+    A chunk takes the episode and the description at its place, else the first; of rows
+    with the same chunk the first counts.
+    """
+    each = rows.select(*order, "episodes", "descriptions", F.posexplode("chunk_ids").alias("pos", "chunk_id")).where(F.coalesce("chunk_id", F.lit("")) != "")
+    at = lambda c: F.coalesce(F.get(c, F.col("pos")), F.get(c, F.lit(0)), F.lit(""))
+    held = F.struct(at("episodes").alias("episode"), at("descriptions").alias("description"))
+    first = each.groupBy("chunk_id").agg(F.min_by(held, F.struct(*order, "pos")).alias("held"))
+    return first.select("chunk_id", "held.episode", "held.description")
+
+
 def evidence(edges: DataFrame) -> DataFrame:
-    """``chunk_id, episode, description``: an edge's chunks with the episode at their place, the
-    first where there is none; of each chunk the first row by edge and place."""
-    rows = edges.select("subject_id", "relation", "object_id", "episodes", "descriptions", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-    w = Window.partitionBy("chunk_id").orderBy("subject_id", "relation", "object_id", "pos")
-    own = rows.withColumns({"episode": F.coalesce(F.get("episodes", F.col("pos")), F.get("episodes", F.lit(0)), F.lit("")), "description": F.coalesce(F.get("descriptions", F.lit(0)), F.lit("")), "_nth": F.row_number().over(w)})
-    return own.where("_nth = 1").select("chunk_id", "episode", "description")
+    """``first_evidence`` of edges, in the order of their ends and relations."""
+    return first_evidence(edges, ["subject_id", "relation", "object_id"])
 
 
 def hop_distances(edges: DataFrame, start: str, hops: int = MAX_HOPS) -> DataFrame:
@@ -171,6 +180,24 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = MAX_HOPS)
     return found.sparkSession.createDataFrame(path[::-1], "step int, node string")
 
 
+def path_rows(nodes: DataFrame, edges: DataFrame, start: str | None, end: str | None, hops: int = MAX_HOPS) -> DataFrame:
+    """``nodes, edges``: the shortest path as one row of lists; no row without one, or where the ends are equal.
+
+    Of several edges between two steps the first by key counts.
+    """
+    spark = nodes.sparkSession
+    steps = [r["node"] for r in shortest_path(edges, start, end, hops).orderBy("step").collect()] if start and end and start != end else []  # a step a hop
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(steps, steps[1:], strict=False))], "step int, a string, b string")
+    ends = (F.col("subject_id") == F.col("a")) & (F.col("object_id") == F.col("b")) | (F.col("subject_id") == F.col("b")) & (F.col("object_id") == F.col("a"))
+    own = edges.where(F.col("subject_id").isin(steps) & F.col("object_id").isin(steps)) if steps else edges.limit(0)
+    taken = own.join(F.broadcast(pairs), ends).groupBy("step").agg(F.min_by(F.struct(*own.columns), F.struct("subject_id", "relation", "object_id")).alias("e"))
+    places = spark.createDataFrame(list(enumerate(steps)), "step int, id string")
+    named_ = nodes.join(F.broadcast(places), "id").select("step", F.struct(*nodes.columns).alias("n"))
+    in_order = lambda rows, c, name: rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("step", c))), lambda x: x[c]).alias(name))
+    both = in_order(named_, "n", "nodes").crossJoin(in_order(taken, "e", "edges"))  # a row each
+    return both.where(F.size("edges") > 0)
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``what, key, n``: totals, nodes by type, edges by relation."""
     total = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), F.lit("all").alias("key"), "n").unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), F.lit("all").alias("key"), "n"))
@@ -189,8 +216,8 @@ def names_within_names(nodes: DataFrame, kind: str, most: int = 20) -> DataFrame
     types = nodes.where(F.col("type") == kind).select("id", "name", F.lower("name").alias("low"))
     tokens = F.regexp_extract_all("low", F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     # Any token of b lies within a token of a; a's tokens are listed with all their parts of b's length.
-    longest = F.reverse(F.array_sort(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))[0]["t"]
-    b = types.select(F.col("id").alias("b_id"), F.col("name").alias("b"), F.col("low").alias("b_low"), F.coalesce(longest, F.lit("")).alias("part"))
+    longest = F.reverse(F.array_sort(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
+    b = types.select(F.col("id").alias("b_id"), F.col("name").alias("b"), F.col("low").alias("b_low"), F.coalesce(F.get(longest, F.lit(0))["t"], F.lit("")).alias("part"))
     parts = F.flatten(F.transform(tokens, lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(F.sequence(i, F.length(t)), lambda j: F.substring(t, i, j - i + 1))))))
     a = types.select(F.col("id").alias("a_id"), F.col("name").alias("a"), F.col("low").alias("a_low"), F.explode(F.array_distinct(F.concat(parts, F.array(F.lit(""))))).alias("part"))
     known = b.select("part").distinct()

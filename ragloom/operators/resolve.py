@@ -67,14 +67,19 @@ def entities(decided: DataFrame) -> DataFrame:
 def merge(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """Entities merged along ``a, b`` pairs of ids, whole components at once.
 
-    The member with most mentions (of equals, the smallest id) wins; ``merged_ids`` lists all.
+    ``pairs`` may have ``canonical``, a chosen name: the member of that name wins and the
+    entity takes it. Otherwise the member with most mentions (of equals, the smallest id)
+    does; ``merged_ids`` lists all.
     """
     parts = connected_components(pairs)
-    rows = found.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("_part", F.coalesce("component", "id"))
-    order = F.struct((-F.col("mentions")).alias("m"), "id")
+    chosen = pairs.select("a", (F.col("canonical") if "canonical" in pairs.columns else F.lit(None).cast("string")).alias("chosen")).where("chosen != ''")
+    names = chosen.join(parts.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.min("chosen").alias("chosen"))
+    rows = found.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("_part", F.coalesce("component", "id")).join(names, "component", "left")
+    other = F.coalesce(F.lower(F.trim("canonical_name")) != F.lower(F.trim("chosen")), F.lit(False))
+    order = F.struct(other.alias("other"), (-F.col("mentions")).alias("m"), "id")
     return rows.withColumn("_order", order).groupBy("_part").agg(
         F.min_by("id", "_order").alias("id"),
-        F.min_by("canonical_name", "_order").alias("canonical_name"),
+        F.coalesce(F.max("chosen"), F.min_by("canonical_name", "_order")).alias("canonical_name"),
         F.min_by("type", "_order").alias("type"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_order", "aliases"))), lambda x: x["aliases"]))).alias("aliases"),
         F.sum("mentions").alias("mentions"),
@@ -82,6 +87,18 @@ def merge(found: DataFrame, pairs: DataFrame) -> DataFrame:
     ).drop("_part")
 
 
+def summary(found: DataFrame, most: int = 15, aliases: int = 4) -> DataFrame:
+    """``what, key, n, detail``: entities in all, by type, and the most mentioned ones with further names."""
+    none = F.lit("").alias("detail")
+    total = found.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), F.lit("entities").alias("key"), "n", none)
+    by_type = found.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("type").alias("what"), "key", "n", none)
+    others = F.filter("aliases", lambda x: x != F.col("canonical_name"))
+    detail = F.concat(F.array_join(F.slice(others, 1, aliases), ", "), F.when(F.size(others) > aliases, F.lit(" …")).otherwise(F.lit("")))
+    label = F.concat(F.lit("["), "type", F.lit("] "), "canonical_name")
+    top = found.orderBy(F.desc("mentions"), "id").limit(most).select(F.lit("top").alias("what"), label.alias("key"), F.col("mentions").alias("n"), detail.alias("detail"))
+    return total.unionByName(by_type).unionByName(top)
+
+
 def rewrite(triples: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Triples with entity ids; those with an end that was dropped, or a loop, go.
 

@@ -168,7 +168,18 @@ def context_block(spark, sf_dir):
     """P18, P19."""
     rows = table(spark, sf_dir, "documents")
     name = F.col("doc_id").cast("string")
-    return rows.select("doc_id", T.context_block(F.lit(1), name, T.chunk_id(name, F.lit(1)), F.lit(0.5), F.array(F.lit("a"), F.lit("b")), T.compact(F.col("text"))).alias("block"))
+    return rows.select("doc_id", T.context_block(F.lit(1), name, T.chunk_id(name, F.lit(1)), F.col("lang"), F.lit(0.5), F.array(F.lit("a"), F.lit("b")), T.compact(F.col("text"))).alias("block"))
+
+
+@query
+def context_blocks(spark, sf_dir):
+    """The documents of the ten vectors nearest to vector 0, as one context."""
+    rest = table(spark, sf_dir, "embeddings").where("vec_id != 0").select("vec_id", "embedding")
+    near = retrieval.top_k(rest, _first_vector(spark, sf_dir), 10, "vec_id").select("vec_id", "score")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
+    name = F.col("vec_id").cast("string")
+    rows = docs.join(F.broadcast(near), "vec_id").select("vec_id", name.alias("document_id"), T.chunk_id(name, F.lit(1)).alias("chunk_id"), F.col("lang").alias("title"), "score", F.array("lang").alias("matched_terms"), T.compact(F.col("text")).alias("text"))
+    return T.context(rows, [F.desc("score"), "vec_id"])
 
 
 # Triples and entities
@@ -286,6 +297,14 @@ def triple_summary(spark, sf_dir):
     return triples.summary(derived.edges(spark, sf_dir))
 
 
+@query
+def entity_summary(spark, sf_dir):
+    """The derived graph's nodes as entities with further names."""
+    rows = derived.with_mentions(*_graph(spark, sf_dir))
+    names = F.array("name", "id", F.concat("name", F.lit("!")), F.concat("name", F.lit("?")), "type", F.lit("last"))
+    return resolve.summary(rows.select("id", F.col("name").alias("canonical_name"), "type", names.alias("aliases"), "mentions"))
+
+
 @query
 def one_hop(spark, sf_dir):
     """J8, by the query language."""
@@ -356,6 +375,46 @@ def with_pipeline(spark, sf_dir):
     return cypher.run(text, *_graph(spark, sf_dir))
 
 
+@query
+def cypher_path(spark, sf_dir):
+    """The statement for questions of how two entities are connected."""
+    nodes, edges = _graph(spark, sf_dir)
+    whence = graph.chain(edges.where("relation = 'IN_REGION' or subject_id = 'customer:1'"), ["IN_NATION", "IN_REGION"]).first()
+    named = {r["id"]: r["name"] for r in nodes.where(F.col("id").isin(whence["n0"], whence["n2"])).select("id", "name").collect()}  # two rows
+    one, two = named[whence["n2"]], named[whence["n0"]]
+    text = f'MATCH p = shortestPath((a:Entity {{name:"{one}"}})-[*..6]-(b:Entity {{name:"{two}"}})) RETURN [n IN nodes(p) | n.name] AS chain, relationships(p) AS rels, length(p) AS hops'
+    return cypher.run(text, nodes, edges).select(F.array_join("chain", " > ").alias("chain"), _joined("rels"), "hops")
+
+
+@query
+def cypher_isolated(spark, sf_dir):
+    """Nodes without a relationship, by the query language."""
+    nodes, edges = _graph(spark, sf_dir)
+    return cypher.run("MATCH (n) WHERE NOT (n)--() RETURN n.type AS t, n.name AS a", nodes, edges.where("relation in ('PLACED', 'IN_REGION')"))
+
+
+@query
+def cypher_pairs(spark, sf_dir):
+    """Two patterns of a product, cut by a condition."""
+    nodes, edges = _graph(spark, sf_dir)
+    return cypher.run("MATCH (a:Region), (b:Region) WHERE a.id < b.id AND NOT toLower(a.name) CONTAINS toLower(b.name) RETURN a.name AS a, b.name AS b ORDER BY a, b LIMIT 20", nodes, edges)
+
+
+@query
+def cypher_unaliased(spark, sf_dir):
+    """Properties and relationships without names, ordered and cut."""
+    return cypher.run("MATCH (a)-[r:IN_NATION]->(b) RETURN b.name, r, a.name ORDER BY b.name DESC LIMIT 30", *_graph(spark, sf_dir))
+
+
+@query
+def cypher_two_hops(spark, sf_dir):
+    """Two hops in any direction, no relationship used twice."""
+    rows = derived.replies(spark, sf_dir)
+    relation = rows.agg(F.min("relation")).first()[0]
+    users = rows.select(F.col("subject_id").alias("id")).union(rows.select("object_id")).distinct().select("id", F.col("id").alias("name"), F.lit("User").alias("type"))
+    return cypher.run(f"MATCH (a)-[:{relation}]-(b)-[:{relation}]-(c) RETURN a.id AS a, count(*) AS n", users, rows)
+
+
 @query
 def top_n_per_type(spark, sf_dir):
     """The most mentioned of each type."""
@@ -445,6 +504,15 @@ def winner(spark, sf_dir):
     return evaluation.wins(_scores(spark, sf_dir), "doc_id").groupBy("winner").agg(F.count("*").alias("n"))
 
 
+@query
+def evaluation_rows(spark, sf_dir):
+    """K9, API4: the evaluation table's 27 columns."""
+    key = F.col("doc_id")
+    text = lambda word: F.concat(F.lit(word), key.cast("string"))
+    rows = _scores(spark, sf_dir).dropDuplicates(["doc_id", "system"]).drop("total_score")
+    return evaluation.table(rows.select(key.cast("int").alias("index"), text("q").alias("id"), F.concat(F.lit("c"), (key % 5).cast("string")).alias("category"), text("question ").alias("question"), "system", F.concat("system", text(" says ")).alias("answer"), *evaluation.DIMENSIONS, text("verdict ").alias("verdict"), F.lit(None).cast("string").alias("error")))
+
+
 @query
 def csv_lines(spark, sf_dir):
     """K9, P22."""

@@ -221,7 +221,7 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN len(w) = 1 THEN w[1] ELSE 'tie (' || array_to_string(w, '/') || ')' END AS winner, count(*) AS n FROM w GROUP BY 1""",
     "parse_reply": "SELECT event_id, CAST(user_id AS VARCHAR) AS subject, event_type AS relation, CAST(event_id % 4 AS INTEGER) AS shape FROM events WHERE event_id % 4 < 3",
     "serialize_rows": "SELECT 'n_nationkey=' || n_nationkey || '  n_name=\"' || n_name || '\"  n_regionkey=' || n_regionkey AS line FROM nation",
-    "context_block": f"SELECT doc_id, '[1] document: ' || doc_id || ' | chunk: ' || doc_id || '_0001 | score: 0.500000 | terms: a, b' || chr(10) || {compact('text')} AS block FROM documents",
+    "context_block": f"SELECT doc_id, '[Chunk 1]' || chr(10) || 'document_id: ' || doc_id || chr(10) || 'chunk_id: ' || doc_id || '_0001' || chr(10) || 'title: ' || lang || chr(10) || 'retrieval_score: 0.500000' || chr(10) || 'matched_terms: a, b' || chr(10) || 'text: ' || {compact('text')} AS block FROM documents",
     "upsert_nodes": "SELECT 'customer:' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) || '!' ELSE c_name END AS name FROM customer",
     "csv_lines": f"SELECT doc_id || ',' || CASE WHEN regexp_matches(x, '[\",\r\n]') THEN '\"' || replace(x, '\"', '\"\"') || '\"' ELSE x END || ',' || lang AS value FROM (SELECT doc_id, lang, {compact('text')} AS x FROM documents)",
     "jsonl_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS document_id, lang AS title, sha1(text) AS text_hash FROM documents",
@@ -230,5 +230,27 @@ ORACLES["evidence_rows"] = """
         WITH t AS (SELECT 'supplier:' || l_suppkey AS s, 'part:' || l_partkey AS o, l_orderkey * 10 + l_linenumber AS ord, 'o' || l_orderkey || '_' || l_linenumber AS c, 'o' || l_orderkey AS d, l_returnflag || l_linestatus AS x FROM lineitem),
         c AS (SELECT s, o, c, row_number() OVER (PARTITION BY s, o ORDER BY min(ord), c) AS i FROM t GROUP BY s, o, c),
         d AS (SELECT s, o, list(d ORDER BY m, d) AS ds FROM (SELECT s, o, d, min(ord) AS m FROM t GROUP BY ALL) GROUP BY s, o),
-        x AS (SELECT s, o, arg_min(x, lpad(CAST(ord AS VARCHAR), 20, '0') || x) AS x FROM t GROUP BY s, o)
-        SELECT c.c AS chunk_id, coalesce(ds[i], ds[1], '') AS episode, x.x AS description FROM c JOIN d USING (s, o) JOIN x USING (s, o) QUALIFY row_number() OVER (PARTITION BY c.c ORDER BY s, o, i) = 1"""
+        x AS (SELECT s, o, list(x ORDER BY m, x) AS xs FROM (SELECT s, o, x, min(ord) AS m FROM t GROUP BY ALL) GROUP BY s, o)
+        SELECT c.c AS chunk_id, coalesce(ds[i], ds[1], '') AS episode, coalesce(xs[i], xs[1], '') AS description FROM c JOIN d USING (s, o) JOIN x USING (s, o) QUALIFY row_number() OVER (PARTITION BY c.c ORDER BY s, o, i) = 1"""
+
+ORACLES["context_blocks"] = f"""
+        WITH {VEC}, near AS (SELECT b.vec_id, {COS} AS score FROM vec a JOIN vec b ON a.vec_id = 0 AND b.vec_id <> 0 ORDER BY score DESC, b.vec_id LIMIT 10),
+        ranked AS (SELECT near.*, text, lang, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM near JOIN documents ON doc_id = vec_id),
+        blocks AS (SELECT r, '[Chunk ' || r || ']' || chr(10) || 'document_id: ' || vec_id || chr(10) || 'chunk_id: ' || vec_id || '_0001' || chr(10) || 'title: ' || lang || chr(10) || 'retrieval_score: ' || printf('%.6f', score) || chr(10) || 'matched_terms: ' || lang || chr(10) || 'text: ' || {compact('text')} AS b FROM ranked)
+        SELECT string_agg(b, chr(10) || chr(10) ORDER BY r) AS context FROM blocks"""
+ORACLES["entity_summary"] = f"""
+        WITH {GRAPH}, top AS (SELECT type, name, mentions, id FROM nodes ORDER BY mentions DESC, id LIMIT 15)
+        SELECT 'total' AS what, 'entities' AS key, count(*) AS n, '' AS detail FROM nodes
+        UNION ALL SELECT 'type', type, count(*), '' FROM nodes GROUP BY type
+        UNION ALL SELECT 'top', '[' || type || '] ' || name, mentions, id || ', ' || name || '!, ' || name || '?, ' || type || ' …' FROM top"""
+ORACLES["evaluation_rows"] = f"""
+        WITH s AS (SELECT DISTINCT doc_id, [[(doc_id + k) % 3, (doc_id * 7 + k) % 3, (doc_id // 2 + k) % 3, (doc_id // 5) % 3, k % 3] for k in [0, 1, 2]] AS t FROM labels)
+        SELECT CAST(doc_id AS INTEGER) AS index, 'q' || doc_id AS id, 'c' || (doc_id % 5) AS category, 'question ' || doc_id AS question, 'Vector says ' || doc_id AS vector_answer, 'Graph says ' || doc_id AS graph_answer, 'Hybrid says ' || doc_id AS hybrid_answer,
+            {", ".join(f"CAST(list_sum(t[{i + 1}]) AS INTEGER) AS {name}_total" for i, name in enumerate(("vector_rag", "graph_rag", "hybrid_rag")))},
+            {", ".join(f"CAST(t[{i + 1}][{j + 1}] AS INTEGER) AS {name}_{d}" for i, name in enumerate(("vector_rag", "graph_rag", "hybrid_rag")) for j, d in enumerate(("relevance", "constraint_handling", "evidence_grounding", "reasoning_transparency", "hallucination_resistance")))},
+            'verdict ' || doc_id AS verdict, CAST(NULL AS VARCHAR) AS error FROM s"""
+ORACLES["cypher_path"] = f"WITH RECURSIVE {GRAPH}, b AS (SELECT subject_id AS x, object_id AS y, relation FROM edges UNION SELECT object_id, subject_id, relation FROM edges), start AS (SELECT 'region:' || n_regionkey AS id FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey = 1), walk AS (SELECT id AS node, 0 AS hops, [id] AS ids, CAST([] AS VARCHAR[]) AS rels FROM start UNION ALL SELECT y, hops + 1, list_append(ids, y), list_append(rels, '[' || relation || ']') FROM walk JOIN b ON x = node WHERE hops < 3 AND NOT list_contains(ids, y)), best AS (SELECT * FROM walk WHERE node = 'customer:1' ORDER BY hops, list_reverse(ids) LIMIT 1), steps AS (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM best) SELECT (SELECT string_agg(name, ' > ' ORDER BY i) FROM steps JOIN plain USING (id)) AS chain, array_to_string(rels, ',') AS rels, CAST(hops AS INTEGER) AS hops FROM best"
+ORACLES["cypher_isolated"] = f"WITH {GRAPH}, used AS (SELECT * FROM edges WHERE relation IN ('PLACED', 'IN_REGION')) SELECT type AS t, name AS a FROM plain WHERE id NOT IN (SELECT subject_id FROM used UNION SELECT object_id FROM used)"
+ORACLES["cypher_pairs"] = "SELECT x.r_name AS a, y.r_name AS b FROM region x JOIN region y ON 'region:' || x.r_regionkey < 'region:' || y.r_regionkey AND NOT contains(lower(x.r_name), lower(y.r_name)) ORDER BY a, b LIMIT 20"
+ORACLES["cypher_unaliased"] = f"WITH {GRAPH} SELECT o.name AS \"b.name\", '[' || relation || ']' AS r, s.name AS \"a.name\" FROM edges e JOIN nodes s ON s.id = subject_id JOIN nodes o ON o.id = object_id WHERE relation = 'IN_NATION' ORDER BY o.name DESC, e.subject_id, e.relation, e.object_id LIMIT 30"
+ORACLES["cypher_two_hops"] = f"WITH {REPLIES}, both_ways AS (SELECT subject_id AS x, object_id AS y, subject_id AS s, relation AS r, object_id AS o FROM replies WHERE subject_id <> object_id UNION ALL SELECT object_id, subject_id, subject_id, relation, object_id FROM replies WHERE subject_id <> object_id UNION ALL SELECT subject_id, object_id, subject_id, relation, object_id FROM replies WHERE subject_id = object_id), kept AS (SELECT * FROM both_ways WHERE r = (SELECT min(relation) FROM replies)) SELECT a.x AS a, count(*) AS n FROM kept a JOIN kept b ON a.y = b.x AND (a.s <> b.s OR a.o <> b.o) GROUP BY a.x"

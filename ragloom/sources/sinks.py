@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
+from ragloom.sources.workers import exists, replace
 
 
 def json_lines(rows: DataFrame, path: str, order: str | None = None) -> None:
@@ -21,21 +22,47 @@ def vector_store(rows: DataFrame, path: str, model: str, dim: int) -> None:
     rows.withColumns({"embedding": F.col("embedding").cast("array<float>"), "embedding_model": F.lit(model), "dim": F.lit(dim)}).write.mode("overwrite").parquet(path)
 
 
+def entities(rows: DataFrame, path: str) -> None:
+    """``{"count": n, "entities": [...]}``, the most mentioned first, written row by row on the driver."""
+    columns = ("id", "canonical_name", "type", "aliases", "mentions")
+    ordered = rows.select(*columns).orderBy(F.desc("mentions"), "id")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{{"count": {rows.count()}, "entities": [')
+        for i, row in enumerate(ordered.toLocalIterator()):
+            f.write(("," if i else "") + "\n" + json.dumps(row.asDict(), ensure_ascii=False))
+        f.write("\n]}\n")
+
+
 def graph(nodes: DataFrame, edges: DataFrame, path: str, reset: bool = True) -> None:
-    """Nodes by type and edges by relation. Without ``reset`` new rows replace old ones of their key."""
+    """Nodes by type and edges by relation. Without ``reset`` new rows replace old ones of their key.
+
+    Both tables are written whole beside the old ones, which are then set aside, and
+    deleted once the new ones have taken their places; a failure before leaves them as they were.
+    """
     from ragloom.operators.graph import loadable, upsert
 
     spark = nodes.sparkSession
-    parts = (("nodes", nodes, ["id"], "type"), ("edges", loadable(edges, nodes), ["subject_id", "relation", "object_id"], "relation"))
+    parts = (("nodes", nodes, ["id"], "type"), ("edges", loadable(edges, nodes if reset else with_old(nodes, f"{path}/nodes")), ["subject_id", "relation", "object_id"], "relation"))
     for name, rows, keys, by in parts:
         twice = rows.groupBy(*keys).count().where("count > 1").limit(1).count()
         if twice:
             raise ValueError(f"{name} have a key twice")
-        if not reset:
+        if not reset and exists(spark, f"{path}/{name}"):
             rows = upsert(spark.read.parquet(f"{path}/{name}"), rows, keys)
         rows.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}_new")
-        # Readers see the old table until the new one is whole.
-        spark.read.parquet(f"{path}/{name}_new").write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}")
+    for name, *_ in parts:
+        replace(spark, f"{path}/{name}_new", f"{path}/{name}")
+
+
+def with_old(nodes: DataFrame, path: str) -> DataFrame:
+    """Ids of the nodes and of those that a table has already."""
+    new = nodes.select("id")
+    return new.union(nodes.sparkSession.read.parquet(path).select("id")) if exists(nodes.sparkSession, path) else new
+
+
+def spreadsheet_of(rows: DataFrame, path: str) -> None:
+    """An evaluation table as a spreadsheet, in the order of its index."""
+    spreadsheet(rows.orderBy("index"), path)
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:

@@ -44,7 +44,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate data, on whatever file system it is."""
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Move a folder to the place of another, which is deleted last."""
+    (source, system), (target, _), (aside, _) = (_place(spark, p) for p in (new, old, f"{old}_old"))
+    system.delete(aside, True)
+    if system.exists(target) and not system.rename(target, aside):
+        raise OSError(f"{old} can't be set aside")
+    if not system.rename(source, target):
+        raise OSError(f"{new} can't be moved to {old}")
+    system.delete(aside, True)

@@ -8,13 +8,13 @@ import numpy as np
 import pytest
 
 from ragloom.functions import ontology as O
-from ragloom.operators import projection
+from ragloom.operators import evaluation, projection
 from ragloom.plans import ask, catalogue
 from ragloom.plans import providers as P
 from ragloom.sources import readers, sinks
 from ragloom.streaming.ingest import chunk_stream
 
-CORPUS = "S1, Ep1\nWinter\nNed Stark rules Winterfell. Robb Stark is his son.\nS1, Ep2\nRoad\nJoffrey killed Ned Stark in the capital."
+CORPUS = "S1, Ep1\nWinter\nNilo Thorn rules Westmoor. Rufo Thorn is his son.\nS1, Ep2\nRoad\nJorun killed Nilo Thorn in the capital."
 
 
 def replies():
@@ -25,9 +25,9 @@ def replies():
 
         found = []
         if "rules" in text:
-            found += [{"subject": "Ned Stark", "subject_type": "Character", "relation": "RULES", "object": "Winterfell", "object_type": "Location"}, {"subject": "Ned Stark", "subject_type": "Character", "relation": "PARENT_OF", "object": "Robb Stark", "object_type": "Character"}]
+            found += [{"subject": "Nilo Thorn", "subject_type": "Character", "relation": "RULES", "object": "Westmoor", "object_type": "Location"}, {"subject": "Nilo Thorn", "subject_type": "Character", "relation": "PARENT_OF", "object": "Rufo Thorn", "object_type": "Character"}]
         if "killed" in text:
-            found.append({"subject": "Joffrey", "subject_type": "Character", "relation": "KILLED", "object": "Ned Stark", "object_type": "Character", "description": "a death"})
+            found.append({"subject": "Jorun", "subject_type": "Character", "relation": "KILLED", "object": "Nilo Thorn", "object_type": "Character", "description": "a death"})
         return json.dumps({"triples": found})
 
     return reply
@@ -38,7 +38,7 @@ def built(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("corpus") / "corpus.txt"
     path.write_text(CORPUS)
     chunks = ask.build_chunks(readers.lines(spark, str(path)))
-    own = P.Providers(extract=replies(), query=lambda q, s, e: "MATCH (k)-[:KILLED]->(v) RETURN k.name AS killer, v.name AS victim")
+    own = P.Providers(extract=replies(), query=lambda q, s, linked, e: "MATCH (k)-[r:KILLED]->(v) RETURN k.name AS killer, v.name AS victim, r")
     entities, resolved = ask.resolve_entities(ask.extract_triples(chunks, own), own)
     nodes, edges, drops = ask.build_graph(entities, resolved)
     return own, ask.build_vectors(chunks, own).cache(), nodes.cache(), edges.cache(), drops
@@ -47,29 +47,89 @@ def built(spark, tmp_path_factory):
 def test_graph_from_text(built):
     _, store, nodes, edges, drops = built
     assert store.count() == 2 and drops.count() == 0
-    assert {r["id"] for r in nodes.collect()} == {"character:ned-stark", "character:robb-stark", "character:joffrey", "location:winterfell"}
+    assert {r["id"] for r in nodes.collect()} == {"character:nilo-thorn", "character:rufo-thorn", "character:jorun", "location:westmoor"}
     assert {(r["relation"], r["count"]) for r in edges.collect()} == {("RULES", 1), ("PARENT_OF", 1), ("KILLED", 1)}
 
 
 def test_three_ways_to_ask(spark, built):
     own, store, nodes, edges, _ = built
-    found = ask.compare(store, nodes, edges, "Who killed Ned Stark?", own)
-    assert found["Graph"].rows == ['killer="Joffrey"  victim="Ned Stark"']
+    found = ask.compare(store, nodes, edges, "Who killed Nilo Thorn?", own)
+    assert found["Graph"].rows == ['killer="Jorun"  victim="Nilo Thorn"  r="[KILLED: a death]"']
+    assert found["Graph"].evidence == [{"chunk_id": "s01e02_0001", "episode": "s01e02", "description": "a death"}]
+    assert [e["name"] for e in found["Graph"].linked] == ["Nilo Thorn"] and len(found["Graph"].subgraph) == 3
     assert found["Vector"].evidence[0]["document_id"] == "s01e02" and found["Graph"].evidence
     assert len(found["Hybrid"].rows) == len(found["Graph"].rows) + len(found["Vector"].rows)
-    scores = ask.evaluate_batch(spark, ["Who killed Ned Stark?"], store, nodes, edges, own).collect()
-    assert len(scores) == 3 and all(r["error"] is None for r in scores)
-    kinds = [json.loads(line)["type"] for line in sinks.events(ask.ask_events(store, nodes, edges, "Who killed Ned Stark?", own))]
+    asked = [{"id": "q1", "category": "c", "question": "Who killed Nilo Thorn?"}, {"id": "q2", "category": "d", "question": "Who?"}]
+    table = ask.evaluate_batch(spark, asked, store, nodes, edges, own, category="c")
+    row = table.first()
+    assert tuple(table.columns) == evaluation.COLUMNS and len(table.columns) == 27 and table.count() == 1
+    assert (row["index"], row["id"], row["category"], row["error"]) == (1, "q1", "c", None) and row["verdict"]
+    assert row["graph_rag_total"] == sum(row[f"graph_rag_{d}"] for d in evaluation.DIMENSIONS)
+    assert evaluation.scoreboard(evaluation.table_scores(table)).count() == 3
+    bad = P.Providers(**{**own.__dict__, "judge": lambda q, shown: {"verdict": "none"}})
+    failed = ask.evaluate_batch(spark, asked, store, nodes, edges, bad, limit=1).first()
+    assert "relevance" in failed["error"] and failed["graph_rag_total"] is None and failed["graph_answer"]
+    events = {e["type"]: e["payload"] for e in map(json.loads, sinks.events(ask.ask_events(store, nodes, edges, "Who killed Nilo Thorn?", own, spark.createDataFrame([("1", "k", "Who killed Nilo Thorn?")], "id string, category string, question string"))))}
+    assert events["result"]["category"] == "k" and set(events["scatter"]["query"]) == {"x", "y"} and events["scatter"]["points"][0]["label"]
+    kinds = [json.loads(line)["type"] for line in sinks.events(ask.ask_events(store, nodes, edges, "Who killed Nilo Thorn?", own))]
     assert kinds[0] == "stage" and kinds[-1] == "result"
 
 
 def test_refusal_and_repair(built):
     own, _, nodes, edges, _ = built
-    refused = ask.ask_graph(nodes, edges, "q", P.Providers(query=lambda q, s, e: "MATCH (n) DELETE n"))
+    refused = ask.ask_graph(nodes, edges, "q", P.Providers(query=lambda q, s, linked, e: "MATCH (n) DELETE n"))
     assert refused.error and not refused.rows
     asked = []
-    mending = P.Providers(query=lambda q, s, e: asked.append(e) or ("MATCH (n) RETURN n.nothing AS a" if e is None else "MATCH (n:Location) RETURN n.name AS a"))
-    assert ask.ask_graph(nodes, edges, "q", mending).rows == ['a="Winterfell"'] and len(asked) == 2
+    replies_ = iter(["MATCH (n", "MATCH (n) RETURN n.nothing AS a", "MATCH (n:Location) RETURN n.name AS a"])
+    mending = P.Providers(query=lambda q, s, linked, before: asked.append((linked, before)) or next(replies_))
+    found = ask.ask_graph(nodes, edges, "Where is Westmoor?", mending)
+    assert found.rows == ['a="Westmoor"'] and len(asked) == 3 and not found.error
+    assert asked[0][0] == [{"id": "location:westmoor", "name": "Westmoor", "type": "Location"}] and asked[0][1] is None
+    assert asked[1][1]["query"] == "MATCH (n" and "nothing" in asked[2][1]["error"]
+    lost = ask.ask_graph(nodes, edges, "q", P.Providers(query=lambda q, s, linked, before: "MATCH (n"))
+    assert "3 times" in lost.text and lost.error and not lost.rows
+
+
+def test_groups_of_a_provider_are_merged(spark, built):
+    own, *_ = built
+    chunks = spark.createDataFrame([("d1", "d1_0001", "t", "Nilo Thorn rules Westmoor."), ("d2", "d2_0001", "t", "killed")], "document_id string, chunk_id string, title string, text string")
+    grouping = P.Providers(extract=own.extract, groups=lambda kind, names: [{"canonical": "Nilo Thorn", "members": ["Jorun", " nilo thorn", "Nobody"]}] if kind == "Character" else [])
+    entities, resolved = ask.resolve_entities(ask.extract_triples(chunks, grouping), grouping)
+    assert {r["canonical_name"]: sorted(r["merged_ids"]) for r in entities.collect()}["Nilo Thorn"] == ["character:jorun", "character:nilo-thorn"]
+    assert {r["relation"] for r in resolved.collect()} == {"RULES", "PARENT_OF"}  # the killing is a loop now
+
+
+def test_providers_of_one_completion_service():
+    asked = []
+
+    def complete(instructions, text, temperature=0.0, schema=None):
+        asked.append((schema, temperature))
+        return {"decisions": '```json\n[{"surface": "A"}]\n```', "groups": "broken", "mentions": '{"mentions": ["A"]}', None: "```cypher\nMATCH (n) RETURN n.name\n```", "evaluation": '{"verdict": "v"}', "triples": "[]"}[schema]
+
+    p = P.completing(complete)
+    assert p.decide(["A"]) == [{"surface": "A"}] and p.groups("House", ["A"]) == [] and p.mentions("A?") == ["A"]
+    assert p.query("q", "schema", [{"name": "A", "type": "House"}], None) == "MATCH (n) RETURN n.name"
+    assert p.judge("q", {})["verdict"] == "v" and p.answer("q", ["e"]).startswith("```") and asked[-1] == (None, 0.2)
+    assert P.pooled(lambda x: 1 // x, [1, 0, 1]) == [1, None, 1]
+
+
+def test_judge_sees_what_is_displayed():
+    passage, fact = {"document_id": "d", "chunk_id": "k", "snippet": "s", "score": 1.0}, {"chunk_id": "k", "episode": "e", "description": "x"}
+    assert evaluation.shown_to_judge("vector", "a", ["row"], [passage]) == {"answer": "a", "evidence": [{"document_id": "d", "chunk_id": "k", "snippet": "s"}]}
+    assert evaluation.shown_to_judge("graph", "a", ["row"], [fact], "q")["evidence"] == [{"episode": "e", "chunk_id": "k", "description": "x"}]
+    assert set(evaluation.shown_to_judge("hybrid", "a", [], [fact, passage])) == {"answer", "graph_evidence", "text_evidence"}
+    with pytest.raises(ValueError, match="relevance"):
+        evaluation.checked_scores({d: 3 for d in evaluation.DIMENSIONS})
+
+
+def test_build_pipeline(spark, built, tmp_path):
+    own, *_ = built
+    (tmp_path / "corpus.txt").write_text(CORPUS)
+    stores = ask.build_pipeline(readers.lines(spark, f"{tmp_path}/corpus.txt"), own)
+    assert stores["chunks"].count() == stores["vectors"].count() == 2 and stores["nodes"].count() == 4 and stores["edges"].count() == 3
+    sinks.entities(stores["entities"], f"{tmp_path}/entities.json")
+    assert readers.entities(spark, f"{tmp_path}/entities.json", O.DEFAULT.node_types).count() == 4
+    assert json.loads((tmp_path / "entities.json").read_text())["count"] == 4
 
 
 def test_embedding_ignores_batches(spark):
@@ -80,7 +140,9 @@ def test_embedding_ignores_batches(spark):
 
 def test_sinks(spark, built, tmp_path):
     _, store, nodes, edges, _ = built
+    sinks.graph(nodes, edges, f"{tmp_path}/graph", reset=False)
     sinks.graph(nodes, edges, f"{tmp_path}/graph")
+    assert sorted(p.name for p in (tmp_path / "graph").iterdir()) == ["edges", "nodes"]
     sinks.graph(nodes.limit(1).withColumn("mentions", nodes["mentions"] + 10), edges.limit(0), f"{tmp_path}/graph", reset=False)
     again = spark.read.parquet(f"{tmp_path}/graph/nodes")
     assert again.count() == nodes.count() and again.where("mentions > 10").count() == 1

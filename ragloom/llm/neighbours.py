@@ -217,9 +217,11 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
 
     kind = classes.schema["vector"].dataType.simpleString()
     dealt = checkpoint(classes.select("rep", "vector", "weight").mapInArrow(assign, f"rep long, vector {kind}, weight long, cells array<long>"))
+    at_home = F.col("cell") == F.col("cells")[0]
     members = dealt.withColumn("cell", F.explode("cells"))
-    # A cell with more members than a block is cut into blocks; queries of each meet all of them.
-    blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    # A cell with more members than a block is cut into blocks, and so are its home members, who ask.
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(n / s.block)).cast("int")
+    blocks = members.groupBy("cell").agg(cut(F.count("*")).alias("blocks"), cut(F.sum(at_home.cast("int"))).alias("q_blocks"))
     blocks = F.broadcast(blocks)  # a row a centroid, and these are fewer than the sample
     own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
     placed = members.join(blocks, "cell").withColumn("own", own)
@@ -239,13 +241,15 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     graph = shards.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
     # The lists come to one row a vector, before it is dealt to its cells again.
     listed = checkpoint(dealt.join(graph, "rep"))
-    vertices = listed.withColumn("cell", F.explode("cells")).join(blocks, "cell").withColumn("own", own).withColumn("at_home", F.col("cell") == F.col("cells")[0])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    targets = vertices.withColumn("other", other).select("cell", F.col("own").alias("c_block"), F.col("other").alias("q_block"), "rep", "vector", "weight", "cells", "ends", F.lit(True).alias("is_target"), (F.col("at_home") & (F.col("own") == F.col("other"))).alias("is_query"))
-    askers = vertices.where("at_home and blocks > 1").withColumn("other", other).where("other != own").select("cell", F.col("other").alias("c_block"), F.col("own").alias("q_block"), "rep", "vector", "weight", "cells", F.array().cast("array<long>").alias("ends"), F.lit(False).alias("is_target"), F.lit(True).alias("is_query"))
+    vertices = listed.withColumn("cell", F.explode("cells")).join(blocks, "cell").withColumn("home", F.col("cells")[0])
+    # Few ask: a block of members goes to each block of askers, nearly always one, and these to all blocks.
+    none = F.array().cast("array<long>")
+    targets = vertices.select("cell", own.alias("c_block"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), "rep", "vector", "weight", "home", none.alias("cells"), "ends", F.lit(True).alias("is_target"))
+    asking = vertices.where(F.col("cell") == F.col("home"))
+    askers = asking.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c_block"), F.pmod(F.xxhash64("rep"), "q_blocks").cast("int").alias("q_block"), "rep", "vector", "weight", "home", "cells", none.alias("ends"), F.lit(False).alias("is_target"))
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        targets, queries = rows[rows["is_target"]], rows[rows["is_query"]]
+        targets, queries = rows[rows["is_target"]], rows[~rows["is_target"]]
         if not len(targets) or not len(queries):
             return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
         x_reps, q_reps = targets["rep"].to_numpy(np.int64), queries["rep"].to_numpy(np.int64)
@@ -259,7 +263,7 @@ def found_links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
         x_weight, q_weight = targets["weight"].to_numpy(np.int64), queries["weight"].to_numpy(np.int64)
         widest = max(map(len, queries["cells"]))
         q_cells = np.array([[*c, *[c[0]] * (widest - len(c))] for c in queries["cells"]], np.int64)
-        x_home = np.array([c[0] for c in targets["cells"]])
+        x_home = targets["home"].to_numpy(np.int64)
         a_all, b_all, n_all = [], [], []
         for at in range(0, len(q), 512):
             qi, xi = range_search(q[at : at + 512], own[at : at + 512], x, edges, threshold, s)

@@ -123,13 +123,21 @@ def groups(prints: DataFrame, limit: int = GROUP, *, budget: int = BUDGET) -> Da
 def trie_pairs(group: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs within ``budget`` differing bits, in many tries at once.
 
-    The rows are sorted by (group, bits): a node is a range of rows that share a
-    prefix. All node pairs of one depth are traversed together.
+    The rows are sorted by (group, bits), and distinct.
     """
-    n = len(bits)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    a0, a1 = starts, np.r_[starts[1:], n]
-    b0, b1, err = a0, a1, np.zeros(len(a0), np.int8)
+    ends = np.r_[starts[1:], len(bits)]
+    return traverse(bits, starts, ends, starts, ends, budget)
+
+
+def traverse(bits: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the budget below the given pairs of nodes.
+
+    A node is a range of sorted rows that share a prefix. All node pairs of one depth
+    are traversed together, from the highest bit down; a pair's two ranges are equal or
+    apart.
+    """
+    err = np.zeros(len(a0), np.int8)
     for depth in range(63, -1, -1):
         ones = np.r_[0, np.cumsum((bits >> np.uint64(depth)) & np.uint64(1), dtype=np.int64)]
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])

@@ -226,7 +226,8 @@ def test_groups_refuse_a_limit_that_loses_links(spark):
 
 def test_large_groups_of_near_copies_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(copies, "BLOCK", 4)
-    monkeypatch.setattr(copies.in_blocks, "__defaults__", (4,))
+    monkeypatch.setattr(copies, "BLOCK_CHARS", 4000)
+    monkeypatch.setattr(copies, "TRIE", 4)
     rng = random.Random(21)
     base = [f"w{rng.randrange(900)}" for _ in range(150)]
     rows = []
@@ -244,3 +245,17 @@ def test_large_groups_of_near_copies_meet_in_blocks(spark, monkeypatch):
     for k, c in zip(keys, want, strict=True):
         assert seen.setdefault(c, got.get(k, k)) == got.get(k, k)
     assert len(set(seen.values())) == len({keys[i] for i in range(40) if want[i] == i})
+
+
+@pytest.mark.parametrize("trie", [4, 64, 512])
+def test_near_prints_connect_what_brute_force_connects(monkeypatch, trie):
+    monkeypatch.setattr(copies, "TRIE", trie)
+    rng = random.Random(31)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    bits = np.array([rng.choice(base) ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for _ in range(300)], np.uint64)
+    bits[5] = bits[6] = bits[7]
+    group = np.array([rng.randrange(4) if i % 3 else 9 for i in range(300)])
+    near = (np.bitwise_count(bits[:, None] ^ bits[None]) <= 10) & (group[:, None] == group[None])
+    want = components_of(300, [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    a, b = copies.near_prints(group, bits, 10)
+    assert components_of(300, list(zip(a.tolist(), b.tolist(), strict=True))) == want and 20 < len(set(want)) < 200

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.bpe import BETWEEN, Chunks, Recent, codec
+from ragloom.llm.packing import id_bytes
 from ragloom.llm.shared import load, public_path, small_batches
 
 #: Nodes after which a worker starts a new trie, and chunks after which it adds up what it has
@@ -99,21 +100,22 @@ class UnigramTrie:
         return sum(words), sum(tokens), math.fsum(scores)
 
 
-def count_ids(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+def count_ids(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """``token, n``: how often each id occurs in the byte-pair encoding of all texts.
 
-    A task counts space-separated chunks and encodes each different one once; it gives a
-    row for each id, so at most the vocabulary is shuffled from it.
+    A task counts space-separated chunks and encodes each different one once, as packing
+    does; it gives a row for each id, so at most the vocabulary is shuffled from it.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(public_path(vocabulary))
-        total, seen = np.zeros(len(own.strings), np.int64), Counter()
+        encode = id_bytes(public_path(vocabulary), public_path(ranks)).make
+        total, seen = [0] * len(own.strings), Counter()
 
         def add() -> None:
             for chunk, n in seen.items():
-                for i in own.ids(chunk):
+                for i in memoryview(encode(chunk)).cast("I"):
                     total[i] += n
             seen.clear()
 
@@ -130,8 +132,8 @@ def count_ids(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_b
                 if len(seen) > MAX_CHUNKS:
                     add()
         add()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
+        at = [i for i, n in enumerate(total) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[i] for i in at], pa.int64())], names=["token", "n"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "token long, n long")
     return found.groupBy("token").agg(F.sum("n").alias("n"))

@@ -9,6 +9,9 @@ from ragloom.functions.lexicon import DEFAULT, Lexicon
 
 #: White space as JavaScript sees it, bullets, a term.
 SPACES = r"[\s\x0B ﻿  -     　]+"
+#: Runs of white space other than one plain space, which is most of them and stays as it is;
+#: most characters are dismissed by the first range.
+RUNS = rf"(?=[^!-~])(?: (?=[^!-~]){SPACES}|(?! ){SPACES})"
 BULLETS = "[•·◦●]"
 TERM = r"[a-z0-9]+(?:-[a-z0-9]+)?"
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -21,12 +24,12 @@ def strings(words) -> Column:
 
 def compact(text: Column) -> Column:
     """White space collapsed, ends trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " "))
 
 
 def normalize(text: Column) -> Column:
     """Bullets become spaces, then ``compact``."""
-    return compact(F.regexp_replace(text, BULLETS, " "))
+    return compact(F.regexp_replace(text, rf"(?=[^!-~]){BULLETS}", " "))
 
 
 def text_hash(text: Column) -> Column:
@@ -133,15 +136,16 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def sentence_windows(text: Column, short: int = 220) -> Column:
-    """All sentences, then neighbouring pairs whose first is shorter than ``short``."""
+def windows(single: Column, joined, length=F.length, short: int = 220) -> Column:
+    """All of an array, then what ``joined`` makes of neighbours whose first is shorter than ``short``."""
+    after = F.slice(single, 2, F.greatest(F.size(single) - 1, F.lit(0)))
+    pairs = F.zip_with(single, after, lambda a, b: F.when(b.isNotNull() & (length(a) < short), joined(a, b)))
+    return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
 
-    def windows(single: Column) -> Column:
-        after = F.slice(single, 2, F.greatest(F.size(single) - 1, F.lit(0)))
-        pairs = F.zip_with(single, after, lambda a, b: F.when(b.isNotNull() & (F.length(a) < short), F.concat_ws(" ", a, b)))
-        return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
 
-    return let(sentences(compact(text)), windows)
+def sentence_windows(text: Column, short: int = 220) -> Column:
+    """All sentences, then neighbouring pairs whose first is shorter than ``short``."""
+    return let(sentences(compact(text)), lambda single: windows(single, lambda a, b: F.concat_ws(" ", a, b), short=short))
 
 
 def csv_cell(value: Column) -> Column:

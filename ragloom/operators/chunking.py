@@ -71,9 +71,9 @@ def chunk_texts(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, o
         for lengths in batches:
             yield lengths.map(lambda x: [{"s": s, "e": e} for s, e in slices_of(list(x), size, overlap)])
 
-    cut = docs.select(F.col(id_col).cast("string").alias("document_id"), T.sentences(T.normalize(F.col(text_col))).alias("sentences")).where(F.size("sentences") > 0)
+    # Each row carries its own text only: a copy of all sentences for every chunk would grow with the square of a document.
+    cut = docs.select(F.col(id_col).cast("string").alias("document_id"), T.sentences(T.normalize(F.col(text_col))).alias("sentences"))
     spans = cut.withColumn("spans", slices(F.transform("sentences", lambda s: F.length(s))))
-    rows = spans.select("document_id", "sentences", F.posexplode("spans").alias("pos", "span"))
+    texts = F.transform("spans", lambda x: F.array_join(F.slice("sentences", x["s"] + 1, x["e"] - x["s"]), " "))
     number = F.col("pos") + 1
-    text = F.array_join(F.slice("sentences", F.col("span.s") + 1, F.col("span.e") - F.col("span.s")), " ")
-    return rows.select("document_id", number.alias("chunk_no"), T.chunk_id(F.col("document_id"), number).alias("chunk_id"), text.alias("text"))
+    return spans.select("document_id", F.posexplode(texts).alias("pos", "text")).select("document_id", number.alias("chunk_no"), T.chunk_id(F.col("document_id"), number).alias("chunk_id"), "text")

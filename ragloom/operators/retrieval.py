@@ -97,18 +97,34 @@ def retrieve(store: DataFrame, question: str, query: list[float], k: int = 10, c
     return pool.orderBy(F.desc("rerank_score"), F.desc("score"), "ord").limit(k)
 
 
+def term_points(own: Column, terms: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """What a window's distinct terms score."""
+    return F.size(F.array_intersect(terms, own)) * 4 + hits(own, lexicon.evidence) + hits(own, lexicon.conflict) * 2 + hits(own, lexicon.alliance) * 2
+
+
 def snippet_score(window: Column, terms: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    return T.let(T.word_terms(window), lambda own: F.size(F.array_intersect(terms, own)) * 4 + hits(own, lexicon.evidence) + hits(own, lexicon.conflict) * 2 + hits(own, lexicon.alliance) * 2)
+    return T.let(T.word_terms(window), lambda own: term_points(own, terms, lexicon))
 
 
 def evidence_snippet(text: Column, terms: Column, length: int = 320, lexicon: Lexicon = DEFAULT) -> Column:
-    """The window of highest score, the first of equals, cut to ``length``."""
+    """The window of highest ``snippet_score``, the first of equals, cut to ``length``.
+
+    A term never spans two sentences, so each is parsed once, and of its terms only those
+    that score go on; a pair has those of both.
+    """
+    scoring = F.array_union(terms, T.strings([*lexicon.evidence, *lexicon.conflict, *lexicon.alliance]))
+
+    def read(sentences: Column) -> Column:
+        return T.let(scoring, lambda words: F.transform(sentences, lambda s: F.struct(s.alias("window"), F.array_intersect(T.word_terms(s), words).alias("own"))))
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(F.concat_ws(" ", a["window"], b["window"]).alias("window"), F.array_union(a["own"], b["own"]).alias("own"))
 
-    def pick(windows: Column) -> Column:
-        scored = F.transform(windows, lambda w, i: F.struct(snippet_score(w, terms, lexicon).alias("score"), (-i).alias("place"), w.alias("window")))
-        return F.when(F.size(windows) == 0, text).otherwise(F.array_max(scored)["window"])
+    def pick(single: Column) -> Column:
+        scored = F.transform(T.windows(single, joined, lambda x: F.length(x["window"])), lambda w, i: F.struct(term_points(w["own"], terms, lexicon).alias("score"), (-i).alias("place"), w["window"].alias("window")))
+        return F.when(F.size(single) == 0, text).otherwise(F.array_max(scored)["window"])
 
     def cut(best: Column) -> Column:
         return F.when(F.length(best) <= length, best).otherwise(F.concat(F.rtrim(F.substring(best, 1, length - 3)), F.lit("...")))
 
-    return T.let(T.let(T.sentence_windows(text), pick), cut)
+    return T.let(T.let(T.let(T.sentences(T.compact(text)), read), pick), cut)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from ragloom.functions import text as T
 from ragloom.operators.chunking import chunk_texts, slices_of, split_documents
 from ragloom.plans.ask import build_chunks
 from ragloom.sources.readers import lines
@@ -59,3 +62,14 @@ def test_documents(spark, tmp_path):
     ]
     chunks = build_chunks(lines(spark, str(path))).orderBy("title").collect()
     assert [(r["chunk_id"], r["title"], r["text"]) for r in chunks] == [("s01e02_0001", "Again", "Body two."), ("s01e02_0001", "The Title", "First body. Second line!")]
+
+
+def test_white_space_collapses_as_by_the_plain_pattern(spark):
+    rng = random.Random(21)
+    parts = [" ", "  ", "\t", "\n", "\x0b", " ", "﻿", " ", " ", "　", "a", "é.", "•", "·", "​", "\U0001f600", "x y"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(800)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.compact(F.col("t")).alias("c"), T.normalize(F.col("t")).alias("n")).collect()
+    for t, c, n in rows:
+        plain = re.sub(T.SPACES, " ", t or "")
+        assert c == plain.strip(" ")
+        assert n == re.sub(T.SPACES, " ", re.sub(T.BULLETS, " ", t or "")).strip(" ")

@@ -14,7 +14,7 @@ import base64
 import bisect
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,13 +23,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.bpe import Chunks, codec
+from ragloom.llm.bpe import SPLIT, Chunks, codec
 from ragloom.llm.shared import checkpoint, load, public_path, small_batches
 
 #: Id that ends each document.
 END_ID = 1
 #: Tokens in a sequence.
 WIDTH = 2048
+#: Characters up to which a text is split by the library at once: its patterns keep a stack of a
+#: million places, which longer runs of white space could fill.
+AT_ONCE = 500_000
+
+
+@lru_cache(maxsize=4)
+def encoder(ranks: str, pattern: str) -> Callable[[str], list[int]]:
+    """Ids of a text that a pattern splits, by the rank file's library."""
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
@@ -39,12 +52,7 @@ def id_bytes(vocabulary: str, ranks: str) -> Chunks:
     The pieces come from the rank file of the same vocabulary, whose library merges
     single words; its ids equal those of the tokenizers library (see the tests).
     """
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    merge = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
-    own = codec(vocabulary)
+    merge, own = encoder(ranks, r"(?s).+"), codec(vocabulary)
 
     def make(text: str) -> bytes:
         return array("I", [i for part, special in own.parts(text) for w in part for i in ((own.added[w],) if special else merge(w))]).tobytes()
@@ -52,6 +60,23 @@ def id_bytes(vocabulary: str, ranks: str) -> Chunks:
     return Chunks(own, make)
 
 
+@lru_cache(maxsize=2)
+def text_bytes(vocabulary: str, ranks: str) -> Callable[[str], bytes]:
+    """Whole texts as little-endian 32-bit ids.
+
+    The library splits and merges a text at once where all pattern dialects agree on it:
+    no added token, no odd character, at most ``AT_ONCE`` characters. Others go word by word.
+    """
+    whole, chunks, own = encoder(ranks, SPLIT), id_bytes(vocabulary, ranks), codec(vocabulary)
+
+    def ids(text: str) -> bytes:
+        if len(text) > AT_ONCE or any(name in text for name in own.added) or own.odd.search(text):
+            return b"".join(chunks(text))
+        return array("I", whole(text)).tobytes()
+
+    return ids
+
+
 def cut_documents(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Pieces of at most ``width`` ids, cut where a document fills a sequence.
 
@@ -66,11 +91,11 @@ def cut_documents(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", t
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         seen: dict[int, int] = {}
-        ids = id_bytes(public_path(vocabulary), public_path(ranks))
+        ids = text_bytes(public_path(vocabulary), public_path(ranks))
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = b"".join(ids(text.as_py() or "")) + end
+                tokens = ids(text.as_py() or "") + end
                 total = len(tokens) // 4
                 for start in range(0, total, width):
                     own = tokens[4 * start : 4 * (start + width)]

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ragloom.llm.bpe import Chunks, codec, digest_documents, encode_documents
-from ragloom.llm.packing import intervals, pack_documents, pack_histogram
+from ragloom.llm.packing import AT_ONCE, intervals, pack_documents, pack_histogram, text_bytes
 from ragloom.llm.shared import public_path
 from ragloom.llm import token_counts
 from ragloom.llm.token_counts import UnigramTrie, count_tokens, fit_weights
@@ -45,6 +45,17 @@ def test_chunks_join_to_whole_texts():
         assert [i for x in chunks(text) for i in x] == c.ids(text), text
 
 
+def test_texts_at_once_equal_the_library(library):
+    ids = text_bytes(PATH, public_path("byte_bpe_50k.tiktoken"))
+    letters = [f"a{chr(i)}1 {chr(i)}{chr(i)}b" for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    spaces = [f"{a}{' ' * n}{b}" for a in ("", "x", "\n") for b in ("", "y", "\t", ".") for n in (1, 2, 3, 70)]
+    plain = ["".join(random.Random(i).choices(["the", "don't", " ", "  ", "\n", "7", "é", "_", "'", "'ll", ".", "漢", "\t", "word"], k=40)) for i in range(2000)]
+    for text in [*letters, *spaces, *plain, *odd_texts(1000), "", "ab" * 100, " " * 90_000 + "x"]:
+        assert np.frombuffer(ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
+    long = " " * AT_ONCE + "x" + "word " * 1000
+    assert np.frombuffer(ids(long), "<u4").tolist() == codec(PATH).encode(long)
+
+
 ROWS = [(1, "The cat <|endoftext|> sat."), (2, None), (3, ""), (4, "word " * 3000), (4, "word " * 3000), (None, "no id"), (5, "'ll  \n x")]
 
 

@@ -89,10 +89,10 @@ class BytePairCodec:
         symbols = byte_symbols()
         back = {c: b for b, c in enumerate(symbols)}
         self.byte_ids = [vocab[c] for c in symbols]
-        self.ranks: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # pairs of ids: the merge's rank, and in the lowest 20 bits its id
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.strings: list[bytes] = [b""] * size
@@ -112,26 +112,30 @@ class BytePairCodec:
         n = len(ids)
         if n < 2:
             return tuple(ids)
-        find = self.ranks.get
+        find, pop, push = self.ranks.get, heapq.heappop, heapq.heappush
+        # An entry is (rank, id, position) in one number; a rank has one id.
+        place = n.bit_length()
+        mask = (1 << place) - 1
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [hit[0] * n + i for i in range(n - 1) if (hit := find(ids[i] << 20 | ids[i + 1]))]
+        queue = [hit << place | i for i in range(n - 1) if (hit := find(ids[i] << 20 | ids[i + 1]))]
         heapq.heapify(queue)
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
+            entry = pop(queue)
+            i, hit = entry & mask, entry >> place
             j = after[i]
-            if j >= n or ids[i] < 0 or (hit := find(ids[i] << 20 | ids[j])) is None or hit[0] != rank:
+            if j >= n or ids[i] < 0 or find(ids[i] << 20 | ids[j]) != hit:
                 continue  # stale: one of the two symbols has changed or gone
-            made = ids[i] = hit[1]
+            made = ids[i] = hit & 0xFFFFF
             ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if hit := find(made << 20 | ids[k]):
-                    heapq.heappush(queue, hit[0] * n + i)
+                    push(queue, hit << place | i)
             h = before[i]
             if h >= 0 and (hit := find(ids[h] << 20 | made)):
-                heapq.heappush(queue, hit[0] * n + h)
-        return tuple(i for i in ids if i >= 0)
+                push(queue, hit << place | h)
+        return tuple([i for i in ids if i >= 0])
 
     def parts(self, text: str) -> Iterator[tuple[list[str], bool]]:
         """Runs of pre-tokens, and added tokens (marked), in order."""
@@ -190,15 +194,16 @@ def codec(path: str) -> BytePairCodec:
 
 
 @lru_cache(maxsize=2)
-def digest_chunks(path: str) -> tuple[BytePairCodec, Chunks]:
-    """A codec, and chunks as (ids, those in decimal text)."""
+def digest_chunks(path: str) -> Chunks:
+    """Chunks as their number of ids, these in decimal text, and the vocabulary strings joined."""
     c = codec(path)
+    string, name = c.strings.__getitem__, list(map(str, range(len(c.strings)))).__getitem__
 
-    def make(text: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(c.ids(text))
-        return ids, ",".join(map(str, ids))
+    def make(text: str) -> tuple[int, str, bytes]:
+        ids = c.ids(text)
+        return len(ids), ",".join(map(name, ids)), b"".join(map(string, ids))
 
-    return c, Chunks(c, make)
+    return Chunks(c, make)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -231,16 +236,16 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, chunks = digest_chunks(public_path(vocabulary))
+        chunks = digest_chunks(public_path(vocabulary))
         sha = hashlib.sha256
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
             for value in batch.column(1):
-                found = chunks(value.as_py() or "")
-                ids = [i for own, _ in found for i in own]
-                n.append(len(ids))
-                ids_hex.append(sha(",".join([text for own, text in found if own]).encode()).hexdigest())
-                text_hex.append(sha(c.decode(ids).encode()).hexdigest())
+                counts, texts, strings = zip(*chunks(value.as_py() or ""), strict=True)
+                n.append(sum(counts))
+                ids_hex.append(sha(",".join(filter(None, texts)).encode()).hexdigest())
+                # Decoded as a whole: a character may lie in two ids, broken ones become U+FFFD.
+                text_hex.append(sha(b"".join(strings).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.functions.lexicon import DEFAULT, Lexicon
+from ragloom.operators import nearest
+from ragloom.sources.workers import ship_code
 
 #: Weights of cosine, lexical and cue score.
 WEIGHTS = (0.62, 0.25, 0.13)
@@ -33,14 +35,29 @@ def top_k(vectors: DataFrame, query: list[float], k: int, order: str, vector_col
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, id, score`` for a stated set of queries (``query_id, query``).
 
-    The vectors are dealt to as many blocks as there are shuffle partitions, and every
-    block gets the queries: an equi-join meets each pair once. A task keeps k rows a
-    query before the rest is shuffled.
+    Every block of queries meets every block of vectors in a task of its own, by the matrix
+    products of ``nearest``; a pair is no row. Blocks are bounded in components, and a task
+    passes on k rows a query. Null and odd vectors, and repeated ids, as ``cosine`` and a
+    plain join have them: null scores come last, NaN first, a null id meets nothing.
     """
-    blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = vectors.select(F.col(id_col), F.col(vector_col), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_block"))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = asked.join(dealt, "_block").where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, cosine(F.col("query"), F.col(vector_col)).alias("score"))
+    spark = vectors.sparkSession
+    ship_code(spark)
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == queries.schema["query"].dataType.simpleString() and kind in ("array<float>", "array<double>") else "array<double>"
+    held = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector")).where("id is not null")
+    asked = queries.select(F.col("query_id").alias("id"), F.col("query").cast(kind).alias("vector")).where("id is not null")
+    weigh = lambda rows: rows.agg(F.coalesce(F.sum(F.coalesce(F.size("vector"), F.lit(0)).cast("long") + 1), F.lit(0))).first()[0]
+    n_held, n_asked = weigh(held), weigh(asked)
+    blocks, across = max(1, -(-n_held // nearest.BLOCK), min(16, n_held >> 17)), max(1, -(-n_asked // nearest.BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
+    each = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)).alias("cell")
+    of_asked = asked.select(each(blocks, lambda i: block(across) * blocks + i), F.lit(True).alias("asked"), "id", "vector")
+    of_held = held.select(each(across, lambda i: i * blocks + block(blocks)), F.lit(False).alias("asked"), "id", "vector")
+    names = ["query_id", id_col]
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, id_col))]
+    rows = of_asked.unionByName(of_held).repartitionById(blocks * across, F.col("cell"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip([*names, "score"], [*kinds, "double"], strict=True))
+    scored = rows.mapInArrow(lambda batches: nearest.meet(batches, k, [*names, "score"]), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

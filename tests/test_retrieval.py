@@ -7,10 +7,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.functions.lexicon import DEFAULT, python_terms
+from ragloom.operators import nearest
 from ragloom.operators import retrieval as R
 
 WORDS = "house houses war a-b-c bus king's eddard ned stark kill betrayed ward toward because reason throne loyal who the red wedding lord commander x1 2 The And".split()
@@ -102,3 +104,26 @@ def test_settled_question_equals_the_expressions(spark):
     for question in ("Why did the king betray his wife's family?", "", "the of"):
         own = spark.range(1).select(T.expanded_terms(F.lit(question)), T.settled_terms(spark, question), T.question_profile(F.lit(question)), T.settled_profile(spark, question)).first()
         assert own[0] == own[1] and own[2] == own[3]
+
+
+def test_batch_of_queries_meets_vectors_without_a_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 3000)
+    rng = random.Random(17)
+    vectors = [[round(rng.gauss(0, 1), 2) for _ in range(8)] for _ in range(700)]
+    vectors[100:160] = [list(vectors[3])] * 60  # ties of one score, by id
+    vectors[200:210] = [[2 * x for x in vectors[5]]] * 10
+    odd = [None, [], [0.0] * 8, [0.0] * 8, [None, 1.0], [0.0, 1.0], [1.0, None, 2.0], [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [1e-160] * 8, [1e200] * 8, [1.0, 2.0], [0.5, 1.0, 3.0], [3.0]]
+    rows = [(i, v) for i, v in enumerate(vectors + odd * 2)] + [(50, vectors[9]), (50, None), (7, vectors[8]), (None, vectors[1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # Odd vectors ask too, by ids of their own.
+    asked = df.where("vec_id % 50 = 0 or vec_id >= 700").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    score = R.cosine(F.col("query"), F.col("embedding")).alias("score")
+    pairs = asked.join(df, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", score)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = ["query_id", "rank", "vec_id"]
+    shown = lambda rows: [(r["query_id"], r["rank"], r["vec_id"], str(r["score"] + 0.0 if r["score"] is not None else None)) for r in rows.orderBy(*order).collect()]
+    found = R.top_k_batch(df, asked, 10, "vec_id")
+    want = shown(pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 10"))
+    assert shown(found) == want and len(want) == 10 * len({r[0] for r in want})
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert R.top_k_batch(df.limit(0), asked, 10, "vec_id").collect() == R.top_k_batch(df, asked.limit(0), 10, "vec_id").collect() == []

@@ -3,10 +3,12 @@
 Documents link where their sets of ``WORDS``-word shingles have a Jaccard similarity of
 ``SIMILAR`` or more. Such pairs differ in up to ``WIDE`` of the fingerprint's 64 bits, so
 many that blocks of bits (``simhash.groups``) would have one or two bits each and part
-nothing. The groups come from minima of the shingles' hashes instead; in them the tries
-are joined with themselves under the budget as ever, and what they lead to is verified
-with the exact similarity. Groups and budget only leave out: a pair of similarity 0.8
-shares no group in 3 of a million cases, and has more differing bits in fewer.
+nothing. So operator 6 runs as it is, blocks of bits and all, at ``EXACT`` differing bits,
+within which no pair is missed; for pairs further apart groups from minima of the
+shingles' hashes are added, in which the tries are joined with themselves under the wide
+budget. What both lead to is verified with the exact similarity. Beyond ``EXACT`` bits
+groups and budget may leave out: a pair of similarity 0.8 shares no group in 3 of a
+million cases, and has more than ``WIDE`` differing bits in fewer.
 Whatever is large (a group, a candidate component) is cut into blocks, and all pairs of
 blocks meet, each in a task of its own. Texts are numbered, so that only their numbers,
 fingerprints and groups are shuffled until they are verified.
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.components import connected_components
 from ragloom.llm.shared import append_columns, checkpoint, small_batches
-from ragloom.llm.simhash import SEED, labels, majority, shingle_hashes, traverse, words_of
+from ragloom.llm.simhash import SEED, labels, links, majority, shingle_hashes, traverse, words_of
 
 #: Words in a shingle, the similarity from which documents are linked, and the bits that may
 #: differ (at 0.8 some ten of 64 differ; this is five standard errors more).
 WORDS, SIMILAR, WIDE = 5, 0.8, 26
+#: Differing bits up to which operator 6's own blocks of bits find all pairs.
+EXACT = 3
 #: Groups of a document, and minima in a group's key.
 BANDS, ROWS = 24, 4
 #: Members of a group's block, and characters of a component's; group members and characters that
@@ -198,6 +202,16 @@ def verified(sets: list[np.ndarray]):
     return similar
 
 
+def within_few_bits(classes: DataFrame) -> DataFrame:
+    """``a, b``: links that connect all numbered texts within ``EXACT`` differing bits, by operator 6."""
+    own = classes.where(F.size("bands") > 0).select("n", "bits")  # texts without a word are near to nothing
+    first = checkpoint(own.groupBy("bits").agg(F.min("n").alias("first")))
+    apart = links(first.select("bits"), EXACT)
+    apart = apart.join(first.toDF("a", "one"), "a").join(first.toDF("b", "two"), "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
+    equal = own.join(first, "bits").where("n != first").select(F.col("n").alias("a"), F.col("first").alias("b"))
+    return apart.unionByName(equal)
+
+
 def copy_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``node, component``: keys (see ``with_key``) of texts that have near copies.
 
@@ -219,7 +233,8 @@ def copy_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pd.DataFrame({"a": own[a], "b": own[b]}).drop_duplicates()
 
     tasks = in_blocks(members, sizes, "band", "n", MEMBERS, BLOCK).select("shard", "task", "n", "bits")
-    candidates = connected_components(tasks.groupBy("shard").applyInPandas(meet, numbers)).withColumnRenamed("node", "n")
+    near = tasks.groupBy("shard").applyInPandas(meet, numbers).unionByName(within_few_bits(classes))
+    candidates = connected_components(near).withColumnRenamed("node", "n")
     known = checkpoint(classes.select("key", "n").join(candidates, "n"))
     keyed = with_key(docs.select(F.col(text_col).cast("string").alias("text")), "text", "key")
     # Equal texts differ in case and white space only, so any of them will do.

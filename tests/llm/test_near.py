@@ -259,3 +259,21 @@ def test_near_prints_connect_what_brute_force_connects(monkeypatch, trie):
     want = components_of(300, [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
     a, b = copies.near_prints(group, bits, 10)
     assert components_of(300, list(zip(a.tolist(), b.tolist(), strict=True))) == want and 20 < len(set(want)) < 200
+
+
+def test_near_copies_come_from_blocks_of_bits_too(spark, monkeypatch):
+    rng = random.Random(41)
+    text = lambda: [f"w{rng.randrange(900)}" for _ in range(1500)]
+    base = [text() for _ in range(6)]
+    near = [[*b[:700], f"x{i}", *b[701:]] for i, b in enumerate(base)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base + near)] + [(20, ""), (21, None)]
+    bits = [copies.majority(copies.shingles(copies.words_of(t))) for _, t in rows]
+    want = {i for i in range(6) if (bits[i] ^ bits[i + 6]).bit_count() <= copies.EXACT}
+    assert len(want) > 2
+    # Groups of minima that hold one text each, as those of an unlucky pair.
+    sketches = copies.sketches
+    monkeypatch.setattr(copies, "sketches", lambda docs, column: sketches(docs, column).withColumn("bands", F.when(F.size("bands") > 0, F.array(F.xxhash64("key"))).otherwise(F.col("bands"))))
+    got = {r["node"]: r["component"] for r in copies.copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    keys = [copies.key_of(copies.words_of(t)) for _, t in rows]
+    assert {i for i in range(6) if keys[i] in got and got[keys[i]] == got[keys[i + 6]]} == want
+    assert len(got) == 2 * len(want)

@@ -23,11 +23,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", hub: int
     no links; an empty table gives no rows.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = checkpoint(edges)
+    edges = checkpoint(edges, clear=True)
     before, n = None, edges.count()
     for _ in range(MAX_ROUNDS):
         most = max(hub, n // 1000)
-        edges = checkpoint(_small_star(_large_star(edges, most), most))
+        edges = checkpoint(_small_star(_large_star(edges, most), most), clear=True)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

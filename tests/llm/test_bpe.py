@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -170,3 +172,58 @@ def test_a_crowded_trie_starts_anew(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_NODES", 50)
     small = UnigramTrie(PATH, weights)
     assert small.count(text) == want and len(small.parent) < 200 < len(whole.parent)
+
+
+def calls_of(act) -> int:
+    """Python functions and generators entered while ``act`` runs."""
+    n = 0
+
+    def note(frame, event, arg):
+        nonlocal n
+        n += event == "call"
+
+    sys.setprofile(note)
+    try:
+        act()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_distinct_words_are_scored_many_at_a_time():
+    trie = UnigramTrie(PATH, -np.arange(1.0, 50258.0))
+    trie.count("once")
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(4000)]
+    assert calls_of(lambda: trie.count(" ".join(words))) < len(words)
+
+
+@pytest.mark.parametrize("block", [token_counts.BLOCK, 3000])
+def test_many_texts_at_once_equal_one_by_one(library, monkeypatch, block):
+    monkeypatch.setattr(token_counts, "BLOCK", block)
+    own = codec(PATH)
+    long = ["x" * 64, "x" * 65, "ab" * 90, "漢" * 70, "=" * 300, " " * 200 + "x", "a\0b \0 c\0", "\n \n", " ", "foo\n bar", "bar\n \nfoo"]
+    texts = [None, "", *long, *odd_texts(1500), " ".join(long)]
+    weights = np.log(np.random.default_rng(2).zipf(1.5, len(own.strings)).clip(1, 10**6) / 1e7)
+    scores = {t: weights[i] for i, t in enumerate(own.strings) if t and i != 50256}
+    memo: dict[str, tuple[float, int]] = {}
+    trie, got, counts = UnigramTrie(PATH, weights), [], np.zeros(len(own.strings), np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 100], pa.string())], names=["t"]) for i in range(0, len(texts), 100)]
+    for (column,) in token_counts.blocks(iter(batches), 0):
+        got += zip(*trie.count_all(column), strict=True)
+        found = token_counts.pieces(own, column)
+        ids, owner = token_counts.word_ids(own, found, public_path("byte_bpe_50k.tiktoken"))
+        times = np.bincount(found.word, np.bincount(found.chunk, minlength=found.chunks)[found.owner], len(found.words))
+        np.add.at(counts, ids, times[owner].astype(np.int64))
+    assert len(got) == len(texts)
+    for text, row in zip(texts, got, strict=True):
+        words = tokens = score = 0
+        for part, special in own.parts(text or ""):
+            for w in part:
+                s, k = (0.0, -1) if special else memo.get(w) or memo.setdefault(w, brute(w.encode(), scores))
+                words, tokens, score = words + 1, tokens - k, score + s
+        assert row == (words, tokens, pytest.approx(score, abs=1e-6)), text
+    want = np.zeros(len(own.strings), np.int64)
+    for text in texts:
+        np.add.at(want, library.encode(text or "", add_special_tokens=False).ids, 1)
+    assert (counts == want).all()
